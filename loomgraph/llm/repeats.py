@@ -10,7 +10,8 @@ The work is linear in the corpus; at no point are pairs of a group made.
    occurrences (AQE splits what is hot there: the grouped side has one row a hash).
 3. Classes. Occurrences whose whole context (all runs that hold the anchor) is
    equal form a class. All but the first document of a class repeat that
-   context, however many they are.
+   context, however many they are. Most anchors have one class, which the
+   grouping of step 2 tells already.
 4. Extension. What is left is one context a class, for anchors with several
    classes. These are extended both ways against each other (extend()).
 5. Spans go back to the documents.
@@ -31,6 +32,8 @@ U = np.uint64
 #: Classes of one anchor that a task extends against each other in memory; those of a larger group are compared by a grouping of their runs' hashes.
 GROUP = 2000
 _SHIFT = 1 << 20
+#: 48 bits of a hash do: anchors that share one by chance have other contexts, and a class is named by both hashes.
+_MOST = U((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
@@ -57,7 +60,9 @@ class Tokens:
         return np.dtype(np.uint64 if self.kind == "words" else np.uint8)
 
 
-def _anchor_rows(tokens: Tokens, classes: bool):
+def _anchor_rows(tokens: Tokens, placed: bool):
+    """h, c, _id of each anchor: hashes of itself and of its context; placed: also _key and p, where it stands."""
+
     def rows(batch: pa.RecordBatch):
         for part in common.slices(batch, "_text"):
             out: list[tuple] = []
@@ -65,17 +70,17 @@ def _anchor_rows(tokens: Tokens, classes: bool):
                 v = tokens.hashes(text)
                 p, h = seqhash.minimizers(v, tokens.k, tokens.length)
                 if len(p):
-                    c = seqhash.span(seqhash.prefix(v), np.maximum(p - tokens.side, 0), np.minimum(p + tokens.length, len(v))) if classes else p
-                    out.append((h, c, p, np.full(len(p), i)))
+                    c = seqhash.span(seqhash.prefix(v), np.maximum(p - tokens.side, 0), np.minimum(p + tokens.length, len(v)))
+                    out.append((h & _MOST, c & _MOST, p, np.full(len(p), i)))
             if not out:
                 continue
             h, c, p, i = map(np.concatenate, zip(*out, strict=True))
             ids = part.column("_id").to_numpy(zero_copy_only=False)[i]
-            if classes:
+            if placed:
                 keys = part.column("_key").to_numpy(zero_copy_only=False)[i]
                 yield pa.record_batch([h.view(np.int64), c.view(np.int64), ids, keys, p], names=["h", "c", "_id", "_key", "p"])
             else:
-                yield pa.record_batch([h.view(np.int64), ids], names=["h", "_id"])
+                yield pa.record_batch([h.view(np.int64), c.view(np.int64), ids], names=["h", "c", "_id"])
 
     return rows
 
@@ -250,28 +255,32 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
     length, side = tokens.length, tokens.side
     text = docs.select("_id", "_key", "_text")
 
-    anchors = common.map_arrow(text, _anchor_rows(tokens, False), "h long, _id long")
-    seeds = common.written(anchors.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first < last").select("h"))
+    anchors = common.map_arrow(text, _anchor_rows(tokens, False), "h long, c long, _id long")
+    seeds = anchors.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    seeds = common.written(seeds.filter("first < last").select("h", F.col("first").alias("f"), (F.col("c0") == F.col("c1")).alias("single")))
     del anchors
     common.release(spark)
 
     anchors = common.map_arrow(text, _anchor_rows(tokens, True), "h long, c long, _id long, _key long, p long")
-    shared = common.written(anchors.join(seeds.hint("shuffle_hash"), "h"))
+    met = anchors.join(seeds.hint("shuffle_hash"), "h").filter("not single or _id > f")
+    many = ~F.col("single")
+    met = common.written(met.select(F.when(many, F.col("h")).alias("h"), F.when(many, F.col("c")).alias("c"), "_id", "_key", "p", "single"), by="single")
     del anchors
+    common.discard(seeds)
     common.release(spark)
 
-    classes = shared.groupBy("h", "c").agg(F.min("_id").alias("first"))
+    shared = met.filter("not single").select("h", "c", "_id", "_key", "p")
+    classes = common.written(shared.groupBy("h", "c").agg(F.min("_id").alias("first")))
     groups = classes.groupBy("h").agg(F.count("*").alias("n"))
-    classes = common.written(classes.join(groups.hint("shuffle_hash"), "h"))
+    classes = classes.join(groups.hint("shuffle_hash"), "h")
     placed = common.written(
         shared.join(classes.hint("shuffle_hash"), ["h", "c"])
-        .filter((F.col("_id") > F.col("first")) | (F.col("n") > 1))
         .select("h", "c", "_id", "_key", "p", (F.col("_id") > F.col("first")).alias("whole"), (F.col("n") > GROUP).alias("hot"))
     )
-    common.discard(seeds)
     common.release(spark)
 
-    whole = placed.filter("whole").select("_id", "_key", (F.col("p") - side).alias("a"), (F.col("p") + length).alias("b"))
+    again = met.filter("single").select("_id", "_key", "p").unionByName(placed.filter("whole").select("_id", "_key", "p"))
+    whole = again.select("_id", "_key", (F.col("p") - side).alias("a"), (F.col("p") + length).alias("b"))
     listed = (
         placed.filter("not whole").groupBy("_id", "_key", "h", "c").agg(F.collect_list("p").alias("ps"), F.first("hot").alias("hot"))
         .groupBy("_id", "_key").agg(F.collect_list(F.struct("h", "ps", "hot")).alias("at"))
