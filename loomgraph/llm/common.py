@@ -68,12 +68,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage and outlives executors.
 
-    One pass, unlike checkpoint(), which computes the last stage twice.
+    One pass, unlike checkpoint(), which computes the last stage twice. Spark is
+    told to drop the shuffle files of the write when it ends; else they stay
+    until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     held = spark.read.schema(df.schema).parquet(path)
     held._loom_path = path
     return held
@@ -89,14 +97,6 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver to drop shuffle files whose plans are gone; else they stay until it collects garbage by chance."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -53,7 +53,6 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> Da
         table = common.written(
             split.select("row", "doc_id", F.col("next").alias("grp"), "text_sha256", F.when(~ended, F.col("rest")).alias("rest"), "group_size", "keep_id", ended.alias("ended")), by="ended"
         )
-        common.release(spark)
         done.append(table.filter("ended").select("row", "doc_id", "grp", "keep_id", "group_size", "text_sha256"))
         now = table.filter("not ended").select("row", "doc_id", "grp", "text_sha256", "rest")
         if not now.limit(1).count():

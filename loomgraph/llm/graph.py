@@ -29,7 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = common.written(small)
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         common.discard(now)
-        common.release(spark)
         now = after
         if state == seen:
             break

@@ -122,7 +122,6 @@ def near_lines(docs: DataFrame, fuzzy: int = FUZZY) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     rows = common.map_arrow(docs.select("_id", "_key", "_text"), _line_rows, "l1 long, l2 long, _id long, _key long, no long")
     first = common.written(rows.groupBy("l1", "l2").agg(F.min(_place()).alias("at")).select("l1", "l2", "at.*"))
-    common.release(spark)
     text = docs.select("_id", "_key", "_text")
 
     def from_documents(lines: DataFrame, what: str, schema: str) -> DataFrame:
@@ -130,18 +129,15 @@ def near_lines(docs: DataFrame, fuzzy: int = FUZZY) -> tuple[DataFrame, DataFram
         return common.map_arrow(text.join(at.hint("shuffle_hash"), ["_id", "_key"]).select("_id", "_key", "_text", "at"), _first_rows(fuzzy, what), schema)
 
     halves = common.written(from_documents(first, "halves", "half long, l1 long, l2 long, _id long, _key long, no long"))
-    common.release(spark)
     several = halves.groupBy("half").agg(F.min("l1").alias("a"), F.max("l1").alias("b")).filter("a < b").select("half")
     likely = halves.join(several.hint("shuffle_hash"), "half", "left_semi").select("l1", "l2", "_id", "_key", "no").distinct()
     lines = common.written(from_documents(likely, "text", "l1 long, l2 long, _id long, _key long, no long, line string"))
     common.discard(halves)
-    common.release(spark)
 
     variants = common.map_arrow(lines, _variant_rows, "k1 long, k2 long, role int, l1 long, l2 long, _id long, _key long, no long")
     # plain minima combine in memory; those of structs are for the few keys that several lines have
     common_keys = variants.groupBy("k1", "k2").agg(F.min("l1").alias("a"), F.max("l1").alias("b")).filter("a < b").select("k1", "k2")
     packed = common.written(variants.join(common_keys.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "role", "l1", "l2", _place().alias("at")))
-    common.release(spark)
     earliest = packed.groupBy("k1", "k2").agg(
         F.min(F.when(F.col("role") == 0, F.struct("at", "l1", "l2"))).alias("whole"),
         F.min(F.when(F.col("role") != 0, F.struct("at", "l1", "l2"))).alias("lacking"),

@@ -122,17 +122,14 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = W
     classes = common.written(
         signed.groupBy("cls").agg(F.min(F.struct("_id", "_key")).alias("at"), F.count("*").alias("n_copies"), F.any_value("nodes").alias("nodes")).select("cls", "at.*", "n_copies", "nodes")
     )
-    common.release(spark)
     placed = classes.select("cls", F.explode("nodes").alias("node"))
     ends = placed.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
     met = common.written(placed.join(ends.hint("shuffle_hash"), "node"))
-    common.release(spark)
     pairs = met.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b"))
 
     # only classes that share a node with another one can be linked, so only their texts are fetched
     wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "_id", "_key")
     texts = common.written(docs.select("_id", "_key", "_text").join(wanted.hint("shuffle_hash"), ["_id", "_key"]).select("cls", "_text").dropDuplicates(["cls"]))
-    common.release(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("y").alias("a"), F.col("x").alias("b"))
@@ -140,7 +137,6 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = W
         two = texts.select(F.col("cls").alias("b"), F.col("_text").alias("text_b"))
         found = common.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), _verified(n, threshold), "a long, b long, jaccard double")
         found = common.written(found)
-        common.release(spark)
         return found
 
     links = verify(pairs)

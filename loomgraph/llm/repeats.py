@@ -258,16 +258,12 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
     anchors = common.map_arrow(text, _anchor_rows(tokens, False), "h long, c long, _id long")
     seeds = anchors.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     seeds = common.written(seeds.filter("first < last").select("h", F.col("first").alias("f"), (F.col("c0") == F.col("c1")).alias("single")))
-    del anchors
-    common.release(spark)
 
     anchors = common.map_arrow(text, _anchor_rows(tokens, True), "h long, c long, _id long, _key long, p long")
     met = anchors.join(seeds.hint("shuffle_hash"), "h").filter("not single or _id > f")
     many = ~F.col("single")
     met = common.written(met.select(F.when(many, F.col("h")).alias("h"), F.when(many, F.col("c")).alias("c"), "_id", "_key", "p", "single"), by="single")
-    del anchors
     common.discard(seeds)
-    common.release(spark)
 
     shared = met.filter("not single").select("h", "c", "_id", "_key", "p")
     classes = common.written(shared.groupBy("h", "c").agg(F.min("_id").alias("first")))
@@ -277,7 +273,6 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
         shared.join(classes.hint("shuffle_hash"), ["h", "c"])
         .select("h", "c", "_id", "_key", "p", (F.col("_id") > F.col("first")).alias("whole"), (F.col("n") > GROUP).alias("hot"))
     )
-    common.release(spark)
 
     again = met.filter("single").select("_id", "_key", "p").unionByName(placed.filter("whole").select("_id", "_key", "p"))
     whole = again.select("_id", "_key", (F.col("p") - side).alias("a"), (F.col("p") + length).alias("b"))
@@ -292,7 +287,6 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
             "h long, _id long, _key long, ps array<long>, left int, context binary, hot boolean",
         )
     )
-    common.release(spark)
     extended = (
         contexts.filter("not hot").drop("hot").repartition(common.partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_extend_rows(tokens), "_id long, _key long, a long, b long")
     )
