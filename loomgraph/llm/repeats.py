@@ -30,7 +30,7 @@ from . import common, seqhash
 
 U = np.uint64
 #: Classes of one anchor that a task extends against each other in memory; those of a larger group are compared by a grouping of their runs' hashes.
-GROUP = 2000
+GROUP = 30_000
 _SHIFT = 1 << 20
 #: 48 bits of a hash do: anchors that share one by chance have other contexts, and a class is named by both hashes.
 _MOST = U((1 << 48) - 1)
