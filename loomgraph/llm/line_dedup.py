@@ -35,15 +35,18 @@ def _lines(text: str) -> list[str]:
     return text.split("\n")
 
 
-def _half_keys(v: np.ndarray) -> list[int]:
-    """Keys of which two near lines share one at least: a half's hash with its length and side."""
-    n, out = len(v), []
-    sums = seqhash.prefix(v)
-    for q in {n // 2, (n - 1) // 2}:
-        ab = np.array([[0, q], [n - q, n]])
-        h = seqhash.span(sums, ab[:, 0], ab[:, 1])
-        out += [int(h[0]), int(seqhash.mix(h[1:] + np.uint64(1))[0])]
-    return out
+def _half_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and key of the halves of lines, of which two near lines share one at least: hash, length and side of a half."""
+    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(sizes)
+    starts, sums = ends - sizes, seqhash.prefix(_characters("".join(lines)))
+    numbers, keys = [], []
+    for q, wanted in ((sizes // 2, np.ones(len(sizes), bool)), ((sizes - 1) // 2, sizes % 2 == 0)):
+        n = np.flatnonzero(wanted)
+        for a, b, side in ((starts, starts + q, 0), (ends - q, ends, 1)):
+            numbers.append(n)
+            keys.append(seqhash.mix(seqhash.span(sums, a[n], b[n]) + np.uint64(side)))
+    return np.concatenate(numbers), np.concatenate(keys)
 
 
 def _characters(line: str) -> np.ndarray:
@@ -65,25 +68,28 @@ def _line_rows(batch: pa.RecordBatch):
 
 
 def _first_rows(fuzzy: int, what: str):
-    """Of the lines listed for a document (no, l1, l2): their half keys, or their texts."""
+    """Of the lines listed for a document (no, l1, l2) that have `fuzzy` characters: their half keys, or their texts."""
 
     def rows(batch: pa.RecordBatch):
-        for part in common.slices(batch, "_text"):
-            out = []
+        for part in common.slices(batch, "_text", 1 << 19):
+            out, lines = [], []
             for text, i, key, at in zip(part.column("_text").to_pylist(), part.column("_id").to_pylist(), part.column("_key").to_pylist(), part.column("at").to_pylist(), strict=True):
-                lines = _lines(text)
+                own = _lines(text)
                 for x in at:
-                    line = lines[x["no"]].strip(_BLANK)
-                    if len(line) < fuzzy:
-                        continue
-                    if what == "text":
-                        out.append((x["l1"], x["l2"], i, key, x["no"], line))
-                    else:
-                        for h in _half_keys(_characters(line)):
-                            out.append((h if h < 1 << 63 else h - (1 << 64), x["l1"], x["l2"], i, key, x["no"]))
-            for a in range(0, len(out), 20_000):
-                cols = list(zip(*out[a : a + 20_000], strict=True))
-                yield pa.record_batch([pa.array(c, pa.string() if what == "text" and n == 5 else pa.int64()) for n, c in enumerate(cols)], names=["l1", "l2", "_id", "_key", "no", "line"] if what == "text" else ["half", "l1", "l2", "_id", "_key", "no"])
+                    line = own[x["no"]].strip(_BLANK)
+                    if len(line) >= fuzzy:
+                        out.append((x["l1"], x["l2"], i, key, x["no"]))
+                        lines.append(line)
+            if not out:
+                continue
+            names = ["l1", "l2", "_id", "_key", "no"]
+            held = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            if what == "text":
+                yield pa.RecordBatch.from_arrays([*held.columns, pa.array(lines, pa.string())], names=[*names, "line"])
+            else:
+                number, half = _half_keys(lines)
+                held = held.take(pa.array(number))
+                yield pa.RecordBatch.from_arrays([pa.array(half.view(np.int64)), *held.columns], names=["half", *names])
 
     return rows
 
