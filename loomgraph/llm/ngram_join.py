@@ -22,8 +22,8 @@ from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.999
-#: Other components of a node that each of its members is compared with one by one; where there are more, members meet NODES random centres instead.
-NODES = 8
+#: Other components of a node that each of its members is compared with one by one; where there are more, members meet CENTRES random ones in each of their nodes instead.
+NODES, CENTRES = 8, 2
 _MULTIPLY = np.random.default_rng(5).integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -146,12 +146,12 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = W
     held = met.select("node", "cls").join(part.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("component"))
     held = common.written(held)
     some = held.groupBy("node", "component").agg(F.min("cls").alias("centre"), F.max("cls").alias("other"))
-    ranked = some.groupBy("node").agg(F.count("*").alias("n"), F.min(F.xxhash64("centre")).alias("lot")).filter("n > 1")
+    ranked = some.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     few = some.join(ranked.filter(F.col("n") <= NODES).select("node").hint("shuffle_hash"), "node")
     near = held.join(few.withColumnRenamed("component", "c2"), "node").filter("component <> c2").select(F.col("cls").alias("a"), F.explode(F.array("centre", "other")).alias("b"))
     many = some.join(ranked.filter(F.col("n") > NODES).select("node").hint("shuffle_hash"), "node")
-    centres = many.groupBy("node").agg(*(F.min(F.struct(F.xxhash64("centre", F.lit(k)), "centre")).alias(f"c{k}") for k in range(NODES)))
-    far = held.join(centres.hint("shuffle_hash"), "node").select(F.col("cls").alias("a"), F.explode(F.array(*(F.col(f"c{k}.centre") for k in range(NODES)))).alias("b"))
+    centres = many.groupBy("node").agg(*(F.min(F.struct(F.xxhash64("centre", F.lit(k)), "centre")).alias(f"c{k}") for k in range(CENTRES)))
+    far = held.join(centres.hint("shuffle_hash"), "node").select(F.col("cls").alias("a"), F.explode(F.array(*(F.col(f"c{k}.centre") for k in range(CENTRES)))).alias("b"))
     links = links.unionByName(verify(near.unionByName(far).join(links.select("a", "b"), ["a", "b"], "left_anti"))).dropDuplicates(["a", "b"])
     links = common.written(links)
     part = common.written(components(links))
