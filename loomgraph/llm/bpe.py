@@ -25,7 +25,7 @@ from . import common
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a unit above which it is split further; characters of a leaf of the tree.
 LONG, LEAF = 2000, 512
-#: Units that each of a worker's two tables keeps, and characters of those kept.
+#: Units that each of a worker's two tables keeps (twice as many where an entry is its ids only), and characters of those kept.
 KEPT, KEPT_LEN = 200_000, 48
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: In a text without what _HARD finds, each match of _UNIT can be encoded apart: runs of letters, with the blank before, and what stands between them.
@@ -174,7 +174,7 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[list]:
         """For each text the entries of its units; see _enter()."""
-        if len(self.units) > KEPT:
+        if len(self.units) > (KEPT if self.shown else 2 * KEPT):
             self.older, self.units = self.units, {}
         get, split, found = self.units.get, [], []
         missing: dict[str, None] = {}
