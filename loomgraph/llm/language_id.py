@@ -19,6 +19,8 @@ from . import common
 
 #: n-grams of a profile; documents a language's profile is learned from, about (of languages with fewer, all).
 PROFILE, SAMPLE = 300, 2000
+#: Languages that are learned, the most frequent ones; it bounds what is broadcast.
+LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -68,10 +70,10 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _learned(rows: DataFrame, size: int, sample: int) -> dict[str, np.ndarray]:
     """Profiles of the languages of rows (doc_id, text, lang). Only the profiles come to the driver."""
-    many = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     # a share of each language by a hash of the id: about `sample` documents
     dealt = (F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5) < F.lit(float(sample)) / F.col("n")
-    taken = rows.join(many, "lang").filter(dealt).select("lang", "text")
+    taken = rows.join(F.broadcast(many), "lang").filter(dealt).select("lang", "text")
 
     def count(batch: pa.RecordBatch):
         for part in common.slices(batch, "text"):
@@ -133,7 +135,8 @@ def identify_language(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE
     letter is `und` at score 0, as is every text where nothing could be learned.
     Ties go to the first language by name. Rows without a doc_id count as not
     held out, but nothing is learned from them. Profiles are learned from about
-    `sample` documents a language, taken by a hash of the id, at any input size.
+    `sample` documents a language, taken by a hash of the id, at any input size,
+    for the LANGUAGES most frequent ones.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     known = docs.filter(F.col("doc_id").isNotNull() & ~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
