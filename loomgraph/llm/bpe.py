@@ -12,6 +12,7 @@ ends agree with both sides.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -20,17 +21,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import common, seqhash
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a unit above which it is split further; characters of a leaf of the tree.
 LONG, LEAF = 2000, 512
 #: Units that each of a worker's two tables keeps, and characters of those kept.
 KEPT, KEPT_LEN = 200_000, 48
+#: Units that the table of arrays() keeps, 40 bytes or so each, before it starts again.
+HASHED = 2_000_000
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: In a text without what _HARD finds, each match of _UNIT can be encoded apart: runs of letters, with the blank before, and what stands between them.
 _UNIT = re.compile(f" ?[{_LETTER}]+|(?:[^{_LETTER} ]+| (?![{_LETTER}]))+")
 _HARD = r"\s\s|'|[^\x00-\xff]"
+#: The same sets by code point, for whole arrays of text; characters of a segment.
+_WHITE = np.array([chr(c).isspace() for c in range(1 << 16)])
+_IS_LETTER = np.array([bool(re.match(f"[{_LETTER}]", chr(c))) for c in range(256)])
+_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+SEGMENT = 1 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -85,6 +93,7 @@ class Codec:
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.units: dict = {}
         self.older: dict = {}
+        self._forget()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
         size = max(self.names) + 1
@@ -200,6 +209,112 @@ class Codec:
                 del self.units[u]
         return found
 
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, unsigned 32-bit; of a codec that isn't shown. Units are cut and looked up as arrays, by a 64-bit hash."""
+        segments, owner, out = [], [], [[] for _ in texts]
+        for n, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.blank_splits or any(x in text for x in self.added):
+                out[n].append(np.frombuffer(self.packed(text), "<u4"))
+                continue
+            for part in _segments(text):
+                segments.append(part)
+                owner.append(n)
+        at, size = 0, 0
+        for end, part in enumerate(segments, 1):
+            size += len(part)
+            if size >= SEGMENT or end == len(segments):
+                for n, ids in zip(owner[at:end], self._lookup(segments[at:end]), strict=True):
+                    out[n].append(ids)
+                at, size = end, 0
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
+
+    def _forget(self) -> None:
+        """Empty the table of arrays(): sorted hashes of units; for each, where its ids stand in the pool, and how many they are."""
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+        self.pool, self.filled = np.zeros(0, np.uint32), 0
+
+    def _encoded_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units after one another, and the number of each unit's."""
+        strung, single, long = [], [], []
+        for n, u in enumerate(units):
+            (long if len(u) > self.long else strung if u[0] == " " and u[1:].isalpha() else single).append(n)
+        order = strung + single
+        texts = ["".join([units[n] for n in strung[i : i + 100]]) for i in range(0, len(strung), 100)] + [units[n] for n in single]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
+        # an id never spans two units, so their ends in bytes tell them apart
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(units[n].encode()) for n in order])) + 1
+        count = np.zeros(len(units), np.int64)
+        count[order] = np.diff(ends, prepend=0)
+        parts = [ids]
+        for n in long:
+            parts.append(np.array(self._long_unit(units[n]), np.uint32))
+            count[n] = len(parts[-1])
+        order += long
+        # from the order of encoding to that of units
+        size = count[order]
+        source = np.zeros(len(units), np.int64)
+        source[order] = np.cumsum(size) - size
+        whole = np.concatenate(parts)
+        return whole[np.arange(count.sum()) + np.repeat(source - np.cumsum(count) + count, count)], count
+
+    def _lookup(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of each part, none empty."""
+        joined = "\n" + "\n".join(parts) + "\n"
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(x) for x in parts])
+        begins = np.cumsum(sizes + 1) - sizes
+        forced = np.zeros(len(points), bool)
+        forced[begins] = forced[begins - 1] = forced[-1] = True
+        low = np.minimum(points, 0xFFFF)
+        white, blank = _WHITE[low], points == 32
+        letter = _IS_LETTER[np.minimum(points, 255)] & (points < 256)
+        # pieces: from each blank between two characters that aren't white space
+        cut = forced.copy()
+        cut[1:-1] |= blank[1:-1] & ~white[:-2] & ~white[2:]
+        hard = (points == 39) | (points > 255)
+        hard[:-1] |= white[:-1] & white[1:]
+        heads = np.flatnonzero(cut)
+        soft = np.repeat(~np.logical_or.reduceat(hard, heads), np.diff(np.append(heads, len(points))))
+        # units of the other pieces: round each run of letters, with the blank before it
+        edge = np.zeros(len(points), bool)
+        edge[1:] = (letter[1:] & ~letter[:-1] & ~blank[:-1]) | (~letter[1:] & letter[:-1])
+        edge[:-1] |= blank[:-1] & letter[1:]
+        starts = np.flatnonzero(cut | (edge & soft))
+        ends = np.append(starts[1:], len(points))
+        own = np.ones(len(points), bool)
+        own[begins - 1] = own[-1] = False
+        kept = own[starts]
+        starts, ends = starts[kept], ends[kept]
+        hashes = seqhash.span(seqhash.prefix(seqhash.mix(points.astype(np.uint64) + np.uint64(0x51ED27))), starts, ends)
+        found, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+
+        if len(self.keys) > HASHED or self.filled > 4 * HASHED:
+            self._forget()
+        at = np.searchsorted(self.keys, found)
+        at[at == len(self.keys)] = 0
+        new = self.keys[at] != found if len(self.keys) else np.ones(len(found), bool)
+        if new.any():
+            units = [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            ids, count = self._encoded_units(units)
+            if self.filled + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.filled], ids, np.zeros(len(self.pool) // 2, np.uint32)])
+            else:
+                self.pool[self.filled : self.filled + len(ids)] = ids
+            into = np.searchsorted(self.keys, found[new])
+            self.keys = np.insert(self.keys, into, found[new])
+            self.place = np.insert(self.place, into, np.column_stack([self.filled + np.cumsum(count) - count, count]), axis=0)
+            self.filled += len(ids)
+            at = np.searchsorted(self.keys, found)
+        place = self.place[at]
+        count = place[which, 1]
+        after = np.cumsum(count)
+        ids = self.pool[np.arange(after[-1]) + np.repeat(place[which, 0] - after + count, count)]
+        bounds = np.append(0, after)[np.append(np.searchsorted(starts, begins), len(starts))]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
     def packed(self, text: str) -> bytes:
         """Ids of text as unsigned 32-bit little-endian values; of a codec that isn't shown."""
         return b"".join(self.encode_many([text])[0])
@@ -223,6 +338,18 @@ def _around(text: str, special: str) -> list[str]:
     return out
 
 
+def _segments(text: str):
+    """Parts of text, cut only where a unit begins in any case; a stretch without such a place stays whole."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = _SAFE_CUT.search(text, at + SEGMENT)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 _codecs: dict[tuple[str, bool], Codec] = {}
 
 
@@ -265,7 +392,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def rows(batch: pa.RecordBatch):
         c = codec(path)
         for part in common.slices(batch, "text", 1 << 20):
-            ids = [np.frombuffer(b"".join(units), "<i4") for units in c.encode_many([x or "" for x in part.column("text").to_pylist()])]
+            ids = [x.astype(np.int32) for x in c.arrays([x or "" for x in part.column("text").to_pylist()])]
             yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return common.map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), rows, "doc_id long, ids array<int>")

@@ -124,8 +124,8 @@ def write_token_records(docs: DataFrame, where: str, end_id: int = 2, vocabulary
                         out.write(head + struct.pack("<I", masked(head)))
                         at = 16
                     ids = part.column("_id").to_pylist()
-                    for doc_id, units in zip(ids, c.encode_many(part.column("_text").to_pylist()), strict=True):
-                        own = np.frombuffer(b"".join([*units, struct.pack("<I", end_id)]), "<u4").astype(width)
+                    for doc_id, own in zip(ids, c.arrays(part.column("_text").to_pylist()), strict=True):
+                        own = np.append(own, np.uint32(end_id)).astype(width)
                         record = frame(own.tobytes())
                         out.write(record)
                         entries.append((doc_id, at, len(own)))

@@ -156,6 +156,21 @@ def test_bpe_is_the_library(spark):
         assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_array_lookup_is_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    whole = Tokenizer.from_file(path)
+    r = random.Random(4)
+    parts = [*" \n\t'ab\u00e9\u00df1,.-", "  ", " the", "\u3000", " \u2003x", "\u65e5", "'s", "\xa0", "\U0001f642", "\x85", "don't", "<|endoftext|>"]
+    texts = ["", *("".join(r.choice(parts) for _ in range(r.randint(0, 90))) for _ in range(1500))]
+    for segment, kept in ((1 << 20, 1 << 20), (30, 50)):  # one segment each; many, and a table that starts again
+        monkeypatch.setattr(bpe, "SEGMENT", segment)
+        monkeypatch.setattr(bpe, "HASHED", kept)
+        got = bpe.Codec(path).arrays(texts)
+        assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_records(spark, tmp_path):
     from tokenizers import Tokenizer
 
