@@ -295,3 +295,6 @@ s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (t1 > 0) AS d1, c
 SELECT doc_id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * size / mean)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM b, s WHERE t1 > 0 OR t2 > 0""")
 def full_text(spark, d):
     return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["idiot", "clown"]).withColumn("score", F.round("score", 6))
+
+
+from . import graph_queries, value_queries  # noqa: E402, F401  they register themselves

@@ -1,11 +1,13 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import aggregates as A
 from loomgraph.functions import predicates as P
 from loomgraph.functions import vectors as V
 from loomgraph.operators import algorithms as G
+from loomgraph.operators import structure as S
 from loomgraph.operators.pattern import paths, traverse
 from loomgraph.streaming import aggregates as stream
 
@@ -82,3 +84,28 @@ def test_continuous_aggregate(spark, tmp_path):
     whole = source.groupBy(F.window("ts", "1 hour")).agg(F.sum("v").alias("v")).select(F.col("window.start").alias("bucket"), "v")
     again = stream.refresh(whole, source, "ts", "1 hour", dt.datetime(2024, 1, 1, 1), [], F.sum("v").alias("v"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_forest_truss_colours_and_walks(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 3), (8, 9))
+    w = e.withColumn("weight", (F.col("src") * 3 + F.col("dst")) % 5)
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in S.spanning_forest(w).collect()) == [(1, 2, 0.0), (1, 3, 0.0), (3, 4, 3.0), (4, 5, 2.0), (8, 9, 3.0)]
+    assert sorted((r["src"], r["dst"]) for r in S.k_truss(e).collect()) == [(1, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, 5)]
+    assert S.k_truss(e, 4).count() == 0
+    colour = {r["node"]: r["colour"] for r in S.colouring(e).collect()}
+    pairs = [(r["src"], r["dst"]) for r in e.collect()]
+    assert set(colour) == {1, 2, 3, 4, 5, 8, 9} and all(colour[a] != colour[b] for a, b in pairs)
+    start = spark.createDataFrame([(1,), (8,)], "node long")
+    walks = {r["start"]: r["nodes"] for r in S.random_walks(e, start, 4).collect()}
+    assert len(walks[1]) == 5 and walks[8] == [8, 9] and all((a, b) in pairs for a, b in zip(walks[1], walks[1][1:], strict=False))
+
+
+def test_orders_cycles_and_sides(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 2), (3, 4), (6, 6))
+    assert {r["node"]: r["component"] for r in S.strong_components(e).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 6: 6}
+    assert sorted(r["node"] for r in S.cycle_nodes(e).collect()) == [2, 3, 6]
+    assert {r["node"]: r["level"] for r in S.topological_levels(e).collect()} == {1: 0, 2: None, 3: None, 4: None, 6: None}
+    odd = edges(spark, (1, 2), (2, 3), (3, 1), (7, 8))
+    assert {r["node"]: r["side"] for r in S.bipartite(odd).collect()} == {1: None, 2: None, 3: None, 7: 0, 8: 1}
+    with pytest.raises(ValueError):
+        S.bellman_ford(e.withColumn("weight", F.lit(-1.0)), 1)
