@@ -17,10 +17,12 @@ from ..storage import written
 
 @dataclass
 class Graph:
-    """vertices: label to table with its id column; edges: type to table with its ends' columns."""
+    """vertices: label to table with its id column; edges: type to table with its ends' columns; ends: type to its ends' labels; keys: type to the columns that tell its edges apart, the ends' if not given."""
 
     vertices: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
     edges: dict[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
+    ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def nodes(self, label: str, alias: str) -> DataFrame:
         """Nodes as id column `alias` and struct `alias_`."""

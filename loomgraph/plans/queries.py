@@ -35,6 +35,8 @@ def graph(spark: SparkSession, d: str) -> Graph:
     return Graph(
         {"Customer": (t("customer"), "c_custkey"), "Order": (t("orders"), "o_orderkey"), "Part": (t("part"), "p_partkey"), "Supplier": (t("supplier"), "s_suppkey"), "Nation": (t("nation"), "n_nationkey"), "Region": (t("region"), "r_regionkey")},
         {"PLACED": (t("orders"), "o_custkey", "o_orderkey"), "CONTAINS": (t("lineitem"), "l_orderkey", "l_partkey"), "SUPPLIED_BY": (t("lineitem"), "l_orderkey", "l_suppkey"), "LIVES_IN": (t("customer"), "c_custkey", "c_nationkey"), "BASED_IN": (t("supplier"), "s_suppkey", "s_nationkey"), "PART_OF": (t("nation"), "n_nationkey", "n_regionkey")},
+        {"PLACED": ("Customer", "Order"), "CONTAINS": ("Order", "Part"), "SUPPLIED_BY": ("Order", "Supplier"), "LIVES_IN": ("Customer", "Nation"), "BASED_IN": ("Supplier", "Nation"), "PART_OF": ("Nation", "Region")},
+        {"PLACED": ("o_orderkey",), "CONTAINS": ("l_orderkey", "l_linenumber"), "SUPPLIED_BY": ("l_orderkey", "l_linenumber"), "LIVES_IN": ("c_custkey",), "BASED_IN": ("s_suppkey",), "PART_OF": ("n_nationkey",)},
     )
 
 
@@ -297,4 +299,4 @@ def full_text(spark, d):
     return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["idiot", "clown"]).withColumn("score", F.round("score", 6))
 
 
-from . import graph_queries, value_queries  # noqa: E402, F401  they register themselves
+from . import cypher_queries, graph_queries, value_queries  # noqa: E402, F401  they register themselves

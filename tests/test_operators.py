@@ -8,7 +8,8 @@ from loomgraph.functions import predicates as P
 from loomgraph.functions import vectors as V
 from loomgraph.operators import algorithms as G
 from loomgraph.operators import structure as S
-from loomgraph.operators.pattern import paths, traverse
+from loomgraph.operators.pattern import Graph, paths, traverse
+from loomgraph.plans.cypher import CypherError, cypher
 from loomgraph.streaming import aggregates as stream
 
 
@@ -109,3 +110,45 @@ def test_orders_cycles_and_sides(spark):
     assert {r["node"]: r["side"] for r in S.bipartite(odd).collect()} == {1: None, 2: None, 3: None, 7: 0, 8: 1}
     with pytest.raises(ValueError):
         S.bellman_ford(e.withColumn("weight", F.lit(-1.0)), 1)
+
+
+def small_graph(spark):
+    people = spark.createDataFrame([(1, "Ann", 30, ["x", "y"]), (2, "Bob", None, []), (3, "Cy", 20, None), (4, "Di", 50, ["z"])], "id int, name string, age int, tags array<string>")
+    towns = spark.createDataFrame([(1, "Ulm"), (2, "Bonn")], "id int, name string")
+    knows = spark.createDataFrame([(10, 1, 2, 5), (11, 2, 3, 6), (12, 3, 1, 7), (13, 3, 3, 8)], "k int, a int, b int, since int")
+    lives = spark.createDataFrame([(1, 1), (2, 1), (4, 2)], "p int, t int")
+    return Graph({"Person": (people, "id"), "Town": (towns, "id")}, {"KNOWS": (knows, "a", "b"), "LIVES": (lives, "p", "t")}, {"KNOWS": ("Person", "Person"), "LIVES": ("Person", "Town")}, {"KNOWS": ("k",)})
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("MATCH (a:Person) RETURN a.name ORDER BY a.age", [("Cy",), ("Ann",), ("Di",), ("Bob",)]),  # a null is the greatest
+        ("MATCH (a)-[:KNOWS]-(b) RETURN a.name AS a, b.name AS b ORDER BY a, b", [("Ann", "Bob"), ("Ann", "Cy"), ("Bob", "Ann"), ("Bob", "Cy"), ("Cy", "Ann"), ("Cy", "Bob"), ("Cy", "Cy")]),
+        ("MATCH (a)-[:KNOWS*2]->(b) WHERE a.name = 'Ann' RETURN b.name", [("Cy",)]),
+        ("MATCH p = (a {name: 'Ann'})-[:KNOWS*]->(b) RETURN nodes(p) AS n ORDER BY length(p), size(relationships(p))", [([1, 2],), ([1, 2, 3],), ([1, 2, 3, 1],), ([1, 2, 3, 3],), ([1, 2, 3, 3, 1],)]),
+        ("MATCH (a)-[:KNOWS*0..1]->(b {name: 'Bob'}) RETURN a.name ORDER BY a.name", [("Ann",), ("Bob",)]),
+        ("MATCH (n {name: 'Bob'}) OPTIONAL MATCH (n)-[:LIVES]->(t {name: 'Bonn'}) RETURN n.name, t.name, t", [("Bob", None, None)]),
+        ("MATCH (n) RETURN labels(n)[0] AS l, count(*) AS c ORDER BY l", [("Person", 4), ("Town", 2)]),
+        ("MATCH (n:Person) WHERE n.age > 25 OR n.age IS NULL RETURN count(n.age) AS a, count(*) AS b, collect(DISTINCT n.age > 40) IS NULL AS c", [(2, 3, False)]),
+        ("MATCH (n:Person) UNWIND n.tags AS t RETURN n.name + ':' + t AS s ORDER BY s DESC", [("Di:z",), ("Ann:y",), ("Ann:x",)]),
+        ("MATCH (n:Person {id: 1}) RETURN [t IN n.tags WHERE t <> 'x' | t + '!'] AS a, reduce(s = '', t IN n.tags | s + t) AS b, [x IN [1, 2] | [y IN [3] | x / y + y]][1][0] AS c", [(["y!"], "xy", 3)]),
+        ("MATCH (n:Person) WITH n ORDER BY n.id LIMIT 2 MATCH (n)-[:LIVES]->(t) RETURN t.name, collect(n.name) AS c", [("Ulm", ["Ann", "Bob"])]),
+        ("MATCH (n:Person) WHERE NOT (n)-[:LIVES]->() RETURN n.name", [("Cy",)]),
+        ("MATCH (n:Person {id: 4}) RETURN COLLECT { MATCH (n)-[:LIVES]->(t) RETURN t.name } AS c, COUNT { (n)-[:KNOWS]->() } AS k", [(["Bonn"], 0)]),
+        ("MATCH (a:Person {id: 1}), (b:Person {id: 3}) MATCH p = allShortestPaths((a)-[:KNOWS*]-(b)) RETURN length(p)", [(1,)]),
+        ("UNWIND range(1, 3) AS x WITH x, x % 2 AS odd RETURN odd, sum(x) + count(*) AS s ORDER BY odd", [(0, 3), (1, 6)]),
+        ("RETURN 7 / 2 AS a, 7 / 2.0 AS b, -2 ^ 2 AS c, 'a' IN ['b', null] AS d, 1 < 2 < 2 AS e, toInteger('x') AS f", [(3, 3.5, 4.0, None, False, None)]),
+        ("RETURN $list[1] AS a, $list[-1..] AS b, {k: 1}.k AS c, CASE WHEN false THEN 1 END AS d", [(5, [6], 1, None)]),
+    ],
+)
+def test_cypher(spark, text, want):
+    rows = cypher(small_graph(spark), text, list=[4, 5, 6]).collect()
+    got = [tuple(sorted(v) if isinstance(v, list) and v and isinstance(v[0], str) else v for v in r) for r in rows]
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["MATCH (a:Nobody) RETURN a", "MATCH (a) RETURN b", "MATCH (a", "RETURN nothing(1)", "MATCH (t:Town)-[:KNOWS]->() RETURN t"])
+def test_cypher_refuses(spark, text):
+    with pytest.raises(CypherError):
+        cypher(small_graph(spark), text)
