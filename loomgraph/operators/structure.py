@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
@@ -174,3 +174,97 @@ def bellman_ford(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
         if not front.limit(1).count():
             return best
     raise ValueError("a negative cycle, or longer paths than allowed")
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """node, score: over all sources (node) and targets, the share of shortest paths along edges that pass the node, its own ends left out.
+
+    A row stands for each source and node that it reaches, so give a sample of
+    sources on large graphs. Levels out count paths, the same levels back share
+    the dependencies.
+    """
+    step = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    every = written(nodes(edges))
+    start = every if sources is None else sources
+    front = written(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
+    levels, seen = [front], front
+    for depth in range(1, most + 1):
+        new = front.join(step.withColumnRenamed("src", "node"), "node").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths")).join(seen, ["source", "node"], "left_anti")
+        front = written(new.select("source", "node", F.lit(depth).alias("depth"), "paths"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front)
+    share: DataFrame | None = None  # source, node, delta of one level
+    total: DataFrame | None = None
+    for level in range(len(levels) - 1, 0, -1):
+        far = levels[level] if share is None else levels[level].join(share, ["source", "node"], "left")
+        part = (1 + (F.lit(0.0) if share is None else F.coalesce("delta", F.lit(0.0)))) / F.col("paths")
+        into = far.select("source", F.col("node").alias("dst"), part.alias("part")).join(step, "dst").select("source", F.col("src").alias("node"), "part")
+        share = written(levels[level - 1].join(into, ["source", "node"]).groupBy("source", "node", "paths").agg(F.sum("part").alias("part")).select("source", "node", (F.col("paths") * F.col("part")).alias("delta")))
+        if level > 1:
+            total = share if total is None else total.unionByName(share)
+    if total is None:
+        return every.withColumn("score", F.lit(0.0))
+    return every.join(total.groupBy("node").agg(F.sum("delta").alias("score")), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def bridges(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """src, dst (src < dst) of the edges whose loss parts their component; parallel edges are no bridges.
+
+    Edges outside a breadth-first tree carry a random 64-bit mark at both ends; a
+    tree edge is a bridge if the marks below it cancel, wrong once in 2^64 edges.
+    The rounds are the depth of the tree, down and up again.
+    """
+    flat = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    once = written(flat.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    both = written(undirected(once))
+    front = written(connected_components(once).select("component").distinct().select(F.col("component").alias("node"), F.lit(None).cast("long").alias("parent")))
+    levels, seen = [front], front
+    for _ in range(most):
+        new = both.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")).join(seen, "node", "left_anti")
+        front = written(new)
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front)
+    tree = seen.filter("parent is not null").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+    loose = once.join(tree, ["src", "dst"], "left_anti").unionByName(once.filter("n > 1"))
+    # parallel edges count as one of the tree and one beside it
+    mark = F.xxhash64("src", "dst")
+    held = written(loose.select(F.explode(F.array("src", "dst")).alias("node"), mark.alias("mark")).groupBy("node").agg(F.bit_xor("mark").alias("mark")))
+    found: DataFrame | None = None
+    below: DataFrame | None = None
+    for level in reversed(levels[1:]):
+        own = level.join(held, "node", "left").select("node", "parent", F.coalesce("mark", F.lit(0).cast("long")).alias("mark"))
+        if below is not None:
+            own = own.join(below, "node", "left").select("node", "parent", F.col("mark").bitwiseXOR(F.coalesce("sent", F.lit(0).cast("long"))).alias("mark"))
+        own = written(own)
+        below = own.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("mark").alias("sent"))
+        one = own.filter("mark = 0").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+        found = one if found is None else found.unionByName(one)
+    return once.select("src", "dst").limit(0) if found is None else found
+
+
+def simple_paths(edges: DataFrame, source: int, target: int, most: int = 4) -> DataFrame:
+    """nodes, length of every path from source to target of at most so many hops, no node twice."""
+    step = edges.select("src", "dst").distinct()
+    now = edges.sparkSession.createDataFrame([([source],)], "nodes array<long>")
+    found: DataFrame | None = None
+    for _ in range(most):
+        now = now.join(step, F.element_at("nodes", -1) == F.col("src")).filter(~F.array_contains("nodes", F.col("dst"))).select(F.array_append("nodes", F.col("dst")).alias("nodes"))
+        there = now.filter(F.element_at("nodes", -1) == target)
+        found = there if found is None else found.unionByName(there)
+        now = now.filter(F.element_at("nodes", -1) != target)
+    assert found is not None
+    return found.select("nodes", (F.size("nodes") - 1).cast("long").alias("length"))
+
+
+def neighbour_knn(edges: DataFrame, k: int = 10) -> DataFrame:
+    """node, other, similarity: for each node the k others whose neighbours overlap with its own most, by Jaccard; ties go to the lesser node."""
+    both = written(undirected(edges))
+    deg = both.groupBy("src").agg(F.count("*").alias("n"))
+    met = both.toDF("node", "via").join(both.toDF("other", "via"), "via").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("common"))
+    scored = met.join(deg.toDF("node", "a"), "node").join(deg.toDF("other", "b"), "other").select("node", "other", (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("similarity"))
+    w = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("place")

@@ -160,6 +160,8 @@ class _Query:
 
     def read_properties(self, name: str) -> bool:
         """Whether anything but a pattern, count() or id() names the variable."""
+        if name.startswith("~"):
+            return False
         for k, (_, t) in enumerate(self.toks):
             if t.strip("`").lower() == name.lower():
                 inside = k > 1 and self.toks[k - 1][1] == "("
@@ -525,7 +527,7 @@ class _Query:
         bound.add(r.name)
         if b not in bound:
             bound.add(b)
-            rows = rows.join(self.scan(b, chosen[b]), b) if to.props or (not b.startswith("~") and self.read_properties(b)) else rows.withColumn(f"{b}:label", F.lit(chosen[b]))
+            rows = rows.join(self.scan(b, chosen[b]), b) if to.props or self.read_properties(b) else rows.withColumn(f"{b}:label", F.lit(chosen[b]))
         return rows
 
     def trails(self, rows: DataFrame, a: str, r: Rel, b: str, types, held: bool, turned: bool) -> DataFrame:
@@ -771,8 +773,8 @@ class _Query:
         self.need(")")
         return v
 
-    def related(self, paths: list[Path], where: Callable[[], Column] | None, collect: bool = False) -> Column:
-        """How many matches each row has (or, collected, their list): one grouping of the pattern by the variables shared with the row, joined back."""
+    def related(self, paths: list[Path], where: Callable[[], Column] | None, collected: Callable[[], Column] | None = None) -> Column:
+        """How many matches each row has, or the list of what is collected of them: one grouping of the pattern by the variables shared with the row, joined back."""
         outer_rows, outer = self.current(), self.scope
         rows, inner = self.bind(None, {}, paths)
         shared = [v for v in inner if v in outer]
@@ -782,21 +784,22 @@ class _Query:
         try:
             if where:
                 self.rows = self.rows.filter(where())
-            found = F.count("*")
-            if collect:
-                self.need("RETURN")
-                found = F.collect_list(self.expression())
+            found = F.collect_list(collected()) if collected else F.count("*")
         finally:
             rows, self.rows, self.scope = self.rows, outer_rows, outer
         name = self.anonymous()
         self.rows = outer_rows.join(rows.groupBy(*shared).agg(found.alias(name)), shared, "left")
-        return F.coalesce(_c(name), F.array() if collect else F.lit(0))
+        return F.coalesce(_c(name), F.array() if collected else F.lit(0))
+
+    def returned(self) -> Column:
+        self.need("RETURN")
+        return self.expression()
 
     def subquery(self, what: str) -> Column:
         self.need("{")
         self.take("MATCH")
         paths = self.patterns()
-        n = self.related(paths, self.expression if self.take("WHERE") else None, what == "COLLECT")
+        n = self.related(paths, self.expression if self.take("WHERE") else None, self.returned if what == "COLLECT" else None)
         self.need("}")
         return n > 0 if what == "EXISTS" else n
 

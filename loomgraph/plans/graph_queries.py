@@ -179,3 +179,24 @@ def algo_random_walk(spark, d):
 def algo_bellman_ford(spark, d):
     e = _upward(spark, d).withColumn("weight", (F.col("dst") - F.col("src") - 3).cast("double"))
     return S.bellman_ford(e, e.agg(F.min("src")).first()[0])
+
+
+@query()
+def algo_betweenness(spark, d):
+    return S.betweenness(trade(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query()
+def algo_bridges(spark, d):
+    return S.bridges(sparse(spark, d))
+
+
+@query(f"WITH RECURSIVE e AS ({_TRI}), p AS (SELECT [3::BIGINT] AS v UNION ALL SELECT list_append(v, dst) FROM p JOIN e ON src = v[-1] WHERE v[-1] <> 7 AND len(v) < 4 AND NOT list_contains(v, dst)) SELECT array_to_string(v, ',') AS nodes, CAST(len(v) - 1 AS BIGINT) AS length FROM p WHERE v[-1] = 7")
+def algo_all_simple_paths(spark, d):
+    return S.simple_paths(trade(spark, d), 3, 7, 3).withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
+@query(f"""WITH {_TB}, m AS (SELECT x.src AS node, y.src AS other, count(*) AS c FROM b x JOIN b y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), s AS (SELECT m.node, other, c * 1.0 / (x.n + y.n - c) AS s FROM m JOIN deg x ON x.node = m.node JOIN deg y ON y.node = other),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, other) AS k FROM s) SELECT node, other, round(s, 9) AS similarity FROM r WHERE k <= 5""")
+def algo_knn(spark, d):
+    return S.neighbour_knn(trade(spark, d), 5).withColumn("similarity", F.round("similarity", 9))

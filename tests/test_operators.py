@@ -10,6 +10,7 @@ from loomgraph.operators import algorithms as G
 from loomgraph.operators import structure as S
 from loomgraph.operators.pattern import Graph, paths, traverse
 from loomgraph.plans.cypher import CypherError, cypher
+from loomgraph.plans.dialect import sql
 from loomgraph.streaming import aggregates as stream
 
 
@@ -152,3 +153,72 @@ def test_cypher(spark, text, want):
 def test_cypher_refuses(spark, text):
     with pytest.raises(CypherError):
         cypher(small_graph(spark), text)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SELECT name FROM Person ORDER BY age", [("Bob",), ("Cy",), ("Ann",), ("Di",)]),  # a null is the least
+        ("SELECT name FROM Person WHERE age <> 30 ORDER BY name", [("Bob",), ("Cy",), ("Di",)]),  # true of a null
+        ("SELECT name FROM Person WHERE NOT (age > 25) ORDER BY name", [("Bob",), ("Cy",)]),
+        ("SELECT count(*) AS n, sum(age) AS s, avg(age) AS a, name IS NOT NULL AS one FROM Person WHERE age > 100", [(0, 0, None, None)]),
+        ("SELECT name, tags FROM Person ORDER BY name UNWIND tags", [("Ann", "x"), ("Ann", "y"), ("Bob", None), ("Cy", None), ("Di", "z")]),
+        ("SELECT expand(tags) FROM Person WHERE name = :who", [("x",), ("y",)]),
+        ("SELECT expand(out('LIVES')) FROM Person WHERE id IN [1, 4]", [(1, "Ulm"), (2, "Bonn")]),
+        ("SELECT name, both('KNOWS').size() AS n, in('KNOWS').name.sort() AS k FROM Person ORDER BY name", [("Ann", 2, ["Cy"]), ("Bob", 2, ["Ann"]), ("Cy", 3, ["Bob", "Cy"]), ("Di", 0, [])]),
+        ("SELECT name.substring(0, 2) + '-' + ifnull(age, 0) AS s, name.indexOf('n') AS i, 'a,b'.split(',')[1] AS b, name.hash('MD5').length() AS h FROM Person WHERE id = 1", [("An-30", 1, "b", 32)]),
+        ("SELECT a.n AS n FROM (SELECT {n: 1} AS a)", [(1,)]),
+        ("TRAVERSE out('KNOWS') FROM Person WHERE id = 1 MAXDEPTH 1", [(1, "Ann", 30, ["x", "y"], 0), (2, "Bob", None, [], 1)]),
+        ("MATCH {type: Person, as: a, where: (age > 25)}-LIVES->{as: t, where: (name LIKE 'U%')} RETURN a.name AS a, t.name AS t", [("Ann", "Ulm")]),
+        ("MATCH {type: Person, as: a, where: (id = 1)}.out('KNOWS'){as: b, maxDepth: 2} RETURN b.id AS b ORDER BY b", [(1,), (2,), (3,)]),
+        ("SELECT ts, k FROM (SELECT max(since) AS ts, count(*) AS k FROM KNOWS)", [(8, 4)]),
+    ],
+)
+def test_dialect(spark, text, want):
+    got = [tuple(r) for r in sql(small_graph(spark), text, who="Ann").collect()]
+    assert got == want if "ORDER" in text else sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("text", ["SELECT x FROM Nothing", "SELECT nothing(1)", "SELECT 1 FROM Person GROUP", "INSERT INTO Person SET id = 1", "SELECT name.nothing() FROM Person", "MATCH {type: Person, as: a}.out('LIVES'){as: t, optional: true} RETURN a"])
+def test_dialect_refuses(spark, text):
+    with pytest.raises(CypherError):
+        sql(small_graph(spark), text)
+
+
+def brute_paths(n, pairs):
+    out = {}
+    for s in range(n):
+        dist, count, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for a, b in pairs:
+                if a == v:
+                    if b not in dist:
+                        dist[b], count[b] = dist[v] + 1, 0
+                        order.append(b)
+                    if dist[b] == dist[v] + 1:
+                        count[b] += count[v]
+        out[s] = dist, count
+    return out
+
+
+def test_betweenness_and_bridges(spark):
+    import random
+
+    rnd = random.Random(1)
+    n = 14
+    pairs = sorted({(a, b) for a, b in ((rnd.randrange(n), rnd.randrange(n)) for _ in range(22)) if a != b})
+    edges = spark.createDataFrame([*pairs, pairs[0], (3, 3)], "src long, dst long")
+    got = {r.node: r.score for r in S.betweenness(edges).collect()}
+    found = brute_paths(n, pairs)
+    for v in got:
+        want = sum(found[s][1][v] * found[v][1][t] / found[s][1][t] for s in range(n) for t in found[s][0] if s != v != t and v in found[s][0] and t in found[v][0] and found[s][0][v] + found[v][0][t] == found[s][0][t])
+        assert got[v] == pytest.approx(want)
+
+    def parts(es):
+        dist = brute_paths(n, [*es, *[(b, a) for a, b in es]])
+        return len({min(dist[v][0]) for v in range(n)})
+
+    flat = [tuple(sorted(p)) for p in [*pairs, pairs[0]]]
+    want = {e for i, e in enumerate(flat) if parts(flat[:i] + flat[i + 1 :]) > parts(flat)}
+    assert {tuple(r) for r in S.bridges(edges).collect()} == want
+    assert S.bridges(edges.limit(0)).count() == 0 and S.betweenness(edges.limit(0)).count() == 0
