@@ -10,7 +10,7 @@ from loomgraph.plans.queries import QUERIES
 
 HEADLINE = [
     "match_hop", "match_chain", "match_expand_into", "match_optional", "variable_length_paths", "traverse_breadth_first", "group_by", "statistics", "percentile", "top_skip_limit",
-    "predicates", "time_buckets", "series_lag_moving", "vector_neighbours", "vector_centroids", "full_text", "algo_wcc", "algo_triangle_count", "algo_page_rank", "algo_degree",
+    "predicates", "time_buckets", "series_lag_moving", "vector_neighbours", "vector_centroids", "full_text", "algo_wcc", "algo_triangle_count", "algo_page_rank", "algo_degree", "cypher_group", "cypher_pattern_predicates", "sql_out_size", "sql_match",
 ]
 
 
