@@ -4,10 +4,12 @@ Each document's set of word 5-grams has a MinHash signature, cut into TREES
 labels of DEPTH values, the paths of as many prefix tries. A prefix of d values
 is shared in some trie with probability 1 - (1 - t**d)**TREES at similarity t:
 prefixes are shortened from DEPTH on until that reaches the target recall at
-the threshold. Documents of one node, at the deepest and at the shortest
-prefix, are compared with its first and last member; then, where a node still
-holds several components, with a member of each other one. Candidates are
-verified on the texts. No step makes the pairs of a group.
+the threshold. Every two classes (documents of one set) of a node at that
+prefix are candidates, verified on the texts: the members of a large node are
+dealt into blocks, and each two blocks meet in one group of rows. A pair that
+shares several nodes is verified in the one of the lowest tree only. What a
+group yields is a count of links and an edge for each member, so no table holds
+the pairs of a node unless the links themselves are asked for.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.999
-#: Other components of a node that each of its members is compared with one by one; where there are more, members meet CENTRES random ones in each of their nodes instead.
-NODES, CENTRES = 8, 2
+#: Members of a block of a large node, and n-grams of its members: what bounds a task's memory, never what is compared.
+BLOCK, GRAMS = 512, 1 << 20
 _MULTIPLY = np.random.default_rng(5).integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -61,120 +63,194 @@ def _signed(n: int, depth: int):
                 if not len(s):
                     continue
                 label = signature(s).reshape(TREES, DEPTH).astype(np.uint64)
-                at, nodes = tree, []
-                for d in range(DEPTH):
-                    at = seqhash.mix(at * np.uint64(0x9E3779B97F4A7C15) + label[:, d])
-                    if d + 1 in (depth, DEPTH):
-                        nodes.append(at ^ np.uint64(d))
+                nodes = tree
+                for d in range(depth):
+                    nodes = seqhash.mix(nodes * np.uint64(0x9E3779B97F4A7C15) + label[:, d])
                 whole = seqhash.mix(np.array([np.sum(seqhash.mix(s)), np.sum(s * s | np.uint64(1)), len(s)], np.uint64))
                 cls = int((whole[0] ^ (whole[2] << np.uint64(1))).view(np.int64))
-                out.append((cls, int(whole[1].view(np.int64)), i, key, np.concatenate(nodes).view(np.int64)))
+                out.append((cls, int(whole[1].view(np.int64)), i, key, len(s), nodes.view(np.int64)))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["cls", "check", "_id", "_key", "nodes"])
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64()))], names=["cls", "check", "_id", "_key", "size", "nodes"])
 
     return rows
 
 
-def _verified(n: int, threshold: float):
-    def rows(batch: pa.RecordBatch):
-        held: dict[int, np.ndarray] = {}
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keep = []
-        for i in range(batch.num_rows):
-            sets = []
-            for c, col in ((a[i], "text_a"), (b[i], "text_b")):
-                s = held.get(c)
-                if s is None:
-                    if len(held) > 500:
-                        held.clear()
-                    s = held[c] = shingles(batch.column(col)[i].as_py().encode(), n)
-                sets.append(s)
-            x, y = sets
-            small = min(len(x), len(y)) / max(len(x), len(y))
-            if small >= threshold - 1e-9:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                    keep.append((a[i], b[i], both / (len(x) + len(y) - both)))
-        if keep:
-            cols = list(zip(*keep, strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "jaccard"])
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values sets[i] and sets[j] share, for each i of left and j of right; each set is sorted and distinct."""
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows, row = np.unique(left, return_inverse=True)
+    cols, col = np.unique(right, return_inverse=True)
+    often = n > 1
+    wide = int(often.sum())
+    if 2.0 * len(rows) * len(cols) * wide > 1e5 * len(left):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
+    place = np.where(often, np.cumsum(often) - 1, -1)[at]
+    ends = np.cumsum([len(x) for x in sets])
+    own = [place[e - len(x) : e] for x, e in zip(sets, ends.tolist(), strict=True)]
+    both = np.zeros((len(rows), len(cols)), np.int64)
+    for first in range(0, wide, 4096):
+        parts = []
+        for which in (rows, cols):
+            m = np.zeros((len(which), min(4096, wide - first)), np.float32)
+            for k, i in enumerate(which.tolist()):
+                x = own[i]
+                m[k, x[(x >= first) & (x < first + 4096)] - first] = 1
+            parts.append(m)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both[row, col]
+
+
+def _linked(members: list[tuple], within: bool, tree: int, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links among members (cls, side, size, nodes, text) of a group: two arrays of places, and the similarities.
+
+    All meet within a block, else those of one side meet those of the other;
+    pairs that share a node of a lower tree are left to it.
+    """
+    side, size = (np.array([m[k] for m in members], np.int64) for k in (1, 2))
+    nodes = np.array([m[3] for m in members], np.int64)
+    a = np.flatnonzero(side == side.min())
+    b = a if within else np.flatnonzero(side != side.min())
+    x, y = size[a][:, None], size[b][None, :]
+    meet = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9
+    if within:
+        meet = np.triu(meet, 1)
+    for k in range(tree):
+        meet &= nodes[a, k][:, None] != nodes[b, k][None, :]
+    i, j = np.nonzero(meet)
+    if not len(i):
+        return i, j, np.zeros(0)
+    used, place = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+    left, right = place[: len(i)], place[len(i) :]
+    both = _shared([shingles(members[m][4], n) for m in used.tolist()], left, right)
+    left, right = used[left], used[right]
+    union = size[left] + size[right] - both
+    keep = both >= threshold * union - 1e-9
+    return left[keep], right[keep], (both / union)[keep]
+
+
+def _joined(members: list[tuple], within: bool, tree: int, n: int, threshold: float, pairs: bool):
+    """Rows of _verified for one group."""
+    left, right, jaccard = _linked(members, within, tree, n, threshold)
+    if not len(left):
+        return None
+    cls = np.array([m[0] for m in members], np.int64)
+    if pairs:
+        return np.maximum(cls[left], cls[right]), np.minimum(cls[left], cls[right]), jaccard
+    count = np.bincount(np.concatenate([left, right]), minlength=len(cls))
+    root = np.arange(len(cls))
+    while True:
+        to = root.copy()
+        np.minimum.at(to, left, root[right])
+        np.minimum.at(to, right, root[left])
+        to = to[to]
+        if (to == root).all():
+            break
+        root = to
+    at = np.flatnonzero(count)
+    return cls[at], cls[root[at]], count[at]
+
+
+def _verified(n: int, threshold: float, pairs: bool):
+    """Of rows in the order of (node, p, q): the links of each such group as a, b, jaccard, or else for each member with links itself, one member of those that the group's links join to it, and their number."""
+    names = ["a", "b", "jaccard"] if pairs else ["cls", "root", "n"]
+    kinds = [pa.int64(), pa.int64(), pa.float64() if pairs else pa.int64()]
+
+    def rows(batches):
+        key, tree, held, out, size = None, 0, [], [], 0
+
+        def shown():
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            text = common.raw(batch.column("_text"))
+            cols = [batch.column(c).to_pylist() for c in ("node", "p", "q", "tree", "cls", "side", "size", "nodes")]
+            for k, (node, p, q, t, cls, side, many, nodes) in enumerate(zip(*cols, strict=True)):
+                if (node, p, q) != key:
+                    if len(held) > 1 and (found := _joined(held, key[1] == key[2], tree, n, threshold, pairs)):
+                        out.append(found)
+                        size += len(found[0])
+                        if size > 10_000:
+                            yield shown()
+                            out, size = [], 0
+                    key, tree, held = (node, p, q), t, []
+                held.append((cls, side, many, nodes, text[k]))
+        if len(held) > 1 and (found := _joined(held, key[1] == key[2], tree, n, threshold, pairs)):
+            out.append(found)
+        if out:
+            yield shown()
 
     return rows
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Links between documents whose sets of word n-grams have a Jaccard similarity of the threshold or more.
-
-    Returns (members, links). members has a row for every keyed document: _id,
-    _key, cls (its class, documents with the same set; null if it has no
-    words), n_copies (of that class), component (class of the least document
-    it is linked to, over any number of links; null if alone). links has the
-    verified pairs of classes: a, b, jaccard. A component is found whole; links
-    inside one are those that showed it, not all pairs. Texts without words are
-    like no other.
-    """
-    spark = docs.sparkSession
+def _candidates(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """A row for every keyed document (_id, _key, cls, n_copies), and the classes that meet: rows of groups (node, p, q), with what _verified needs."""
     docs = common.keyed(docs)
     depth = prefix_depth(threshold, recall=recall)
-    signed = common.map_arrow(docs, _signed(n, depth), "cls long, check long, _id long, _key long, nodes array<long>")
+    signed = common.map_arrow(docs, _signed(n, depth), "cls long, check long, _id long, _key long, size long, nodes array<long>")
     signed = common.written(signed)
     classes = common.written(
-        signed.groupBy("cls").agg(F.min(F.struct("_id", "_key")).alias("at"), F.count("*").alias("n_copies"), F.any_value("nodes").alias("nodes")).select("cls", "at.*", "n_copies", "nodes")
+        signed.groupBy("cls")
+        .agg(F.min(F.struct("_id", "_key")).alias("at"), F.count("*").alias("n_copies"), F.any_value("size").alias("size"), F.any_value("nodes").alias("nodes"))
+        .select("cls", "at.*", "n_copies", "size", "nodes")
     )
-    placed = classes.select("cls", F.explode("nodes").alias("node"))
-    ends = placed.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
-    met = common.written(placed.join(ends.hint("shuffle_hash"), "node"))
-    pairs = met.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    placed = classes.select("cls", "size", F.posexplode("nodes").alias("tree", "node"))
+    # nodes of the same members show the same pairs: the one of the lowest tree does
+    ends = placed.groupBy("node").agg(
+        F.min("tree").alias("tree"), F.count("*").alias("n"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")
+    )
+    kept = ends.filter("n > 1").groupBy("n", "grams", "x", "y").agg(F.min(F.struct("tree", "node")).alias("at"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / GRAMS)).cast("int")
+    kept = kept.select("at.node", blocks.alias("blocks"))
+    met = common.written(placed.join(kept.hint("shuffle_hash"), "node").select("node", "tree", "cls", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("side"), "blocks"))
 
     # only classes that share a node with another one can be linked, so only their texts are fetched
-    wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "_id", "_key")
-    texts = common.written(docs.select("_id", "_key", "_text").join(wanted.hint("shuffle_hash"), ["_id", "_key"]).select("cls", "_text").dropDuplicates(["cls"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("y").alias("a"), F.col("x").alias("b"))
-        one = texts.select(F.col("cls").alias("a"), F.col("_text").alias("text_a"))
-        two = texts.select(F.col("cls").alias("b"), F.col("_text").alias("text_b"))
-        found = common.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), _verified(n, threshold), "a long, b long, jaccard double")
-        found = common.written(found)
-        return found
-
-    links = verify(pairs)
-    part = common.written(components(links))
-
-    # nodes that still hold several components
-    held = met.select("node", "cls").join(part.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("component"))
-    held = common.written(held)
-    some = held.groupBy("node", "component").agg(F.min("cls").alias("centre"), F.max("cls").alias("other"))
-    ranked = some.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    few = some.join(ranked.filter(F.col("n") <= NODES).select("node").hint("shuffle_hash"), "node")
-    near = held.join(few.withColumnRenamed("component", "c2"), "node").filter("component <> c2").select(F.col("cls").alias("a"), F.explode(F.array("centre", "other")).alias("b"))
-    many = some.join(ranked.filter(F.col("n") > NODES).select("node").hint("shuffle_hash"), "node")
-    centres = many.groupBy("node").agg(*(F.min(F.struct(F.xxhash64("centre", F.lit(k)), "centre")).alias(f"c{k}") for k in range(CENTRES)))
-    far = held.join(centres.hint("shuffle_hash"), "node").select(F.col("cls").alias("a"), F.explode(F.array(*(F.col(f"c{k}.centre") for k in range(CENTRES)))).alias("b"))
-    links = links.unionByName(verify(near.unionByName(far).join(links.select("a", "b"), ["a", "b"], "left_anti"))).dropDuplicates(["a", "b"])
-    links = common.written(links)
-    part = common.written(components(links))
-
-    copies = classes.select("cls", "n_copies")
-    members = (
-        docs.select("_id", "_key").join(signed.select("_id", "_key", "cls").distinct(), ["_id", "_key"], "left").join(copies, "cls", "left").join(part.withColumnRenamed("node", "cls"), "cls", "left")
-    )
-    return members.select("_id", "_key", "cls", "n_copies", "component"), links
+    wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "_id", "_key", "size", "nodes")
+    texts = common.written(docs.select("_id", "_key", "_text").join(wanted.hint("shuffle_hash"), ["_id", "_key"]).select("cls", "size", "nodes", "_text").dropDuplicates(["cls"]))
+    each = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("node", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "tree", "cls", "side").join(texts, "cls")
+    members = docs.select("_id", "_key").join(signed.select("_id", "_key", "cls").distinct(), ["_id", "_key"], "left").join(classes.select("cls", "n_copies"), "cls", "left")
+    return members.select("_id", "_key", "cls", "n_copies"), each.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q")
+
+
+def _counted(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members as of ngram_jaccard_join, the number of links of each class that has some (cls, n), and the candidates."""
+    members, each = _candidates(docs, threshold, n, recall)
+    found = common.written(each.mapInArrow(_verified(n, threshold, False), "cls long, root long, n long"))
+    part = common.written(components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
+    members = members.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("_id", "_key", "cls", "n_copies", "component")
+    return members, found.groupBy("cls").agg(F.sum("n").alias("n")), each
+
+
+def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Links between documents whose sets of word n-grams have a Jaccard similarity of the threshold or more.
+
+    Returns (members, links). members has a row for every keyed document: _id,
+    _key, cls (its class, documents with the same set; null if it has no
+    words), n_copies (of that class), component (class of the least document
+    it is linked to, over any number of links; null if alone). links has all
+    pairs of different classes that share a node and are as similar: a, b,
+    jaccard; it is computed when read, and grows with the square of a group.
+    What may be missing is what shares no node: at the threshold, 1 - recall
+    of the links, and fewer the more similar. Texts without words are like no
+    other.
+    """
+    members, _, each = _counted(docs, threshold, n, recall)
+    return members, each.mapInArrow(_verified(n, threshold, True), "a long, b long, jaccard double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """A row for every row of docs: doc_id, class_id, n_links, and _id, _key, stays.
 
     class_id is the least doc_id of the documents that links join to this one,
-    itself included. n_links counts its verified links: to the other rows of
-    its own set, and to the classes found similar; 0 for a document like no
+    itself included. n_links counts its links, all verified: to the other rows
+    of its own set, and to the classes found similar; 0 for a document like no
     other. stays marks the first document of each group, alone or not. A null
     doc_id is never a class_id unless all of the class are null.
     """
-    members, links = ngram_jaccard_join(docs, threshold, n)
+    members, ends, _ = _counted(docs, threshold, n, RECALL)
     members = common.written(members)
-    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n"))
     group = F.coalesce("component", "cls")
     heads = members.filter("cls is not null").select(group.alias("g"), "_id", "_key").groupBy("g").agg(F.min(F.struct("_id", "_key")).alias("head"))
     out = members.withColumn("g", group).join(heads.hint("shuffle_hash"), "g", "left").join(ends.hint("shuffle_hash"), "cls", "left")

@@ -122,6 +122,49 @@ def test_ngram_join(spark):
     assert 1 - (1 - 0.8 ** ngram_join.prefix_depth()) ** ngram_join.TREES >= ngram_join.RECALL
 
 
+def links_by_hand(rows, threshold):
+    """Brute force: the groups of doc_ids, and the links of each: the other rows of its set, and the other sets as similar."""
+    sets = {i: frozenset(ngram_join.shingles(t.encode()).tolist()) for i, t in rows}
+    other, near = set(sets.values()), {}
+    for x in other:
+        near[x] = [y for y in other if x != y and min(len(x), len(y)) >= threshold * max(len(x), len(y)) and len(x & y) >= threshold * len(x | y)]
+    least = {x: min(i for i in sets if sets[i] == x) for x in other}
+    while True:
+        after = {x: min([least[x], *(least[y] for y in near[x])]) for x in other}
+        if after == least:
+            break
+        least = after
+    copies = {x: sum(y == x for y in sets.values()) for x in other}
+    return {i: (least[x], len(near[x]) + copies[x] - 1) for i, x in sets.items()}
+
+
+def fresh(r, n):
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def near_by_query(spark, rows, threshold):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(table(spark, rows), threshold).collect()}
+
+
+def of_a_template(r, pairs):
+    """Pairs of linked texts that all hold one boilerplate: nodes of as many components as there are pairs."""
+    boiler, out = fresh(r, 60), []
+    for _ in range(pairs):
+        end = fresh(r, 20)
+        out += [" ".join([*boiler, *fresh(r, 20), *end]) for _ in range(2)]
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_ngram_join_of_a_node_of_many_components(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block, raising=False)
+    rows = of_a_template(random.Random(5), 60)
+    want = links_by_hand(rows, 0.5)
+    assert len({c for c, _ in want.values()}) == 60
+    assert near_by_query(spark, rows, 0.5) == want
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, item), (2, "no such thing here at all my friend"), (3, None), (None, item), (4, "tiny item")], "item_id long, text string")
