@@ -165,6 +165,23 @@ def test_ngram_join_of_a_node_of_many_components(spark, monkeypatch, block):
     assert near_by_query(spark, rows, 0.5) == want
 
 
+def test_ngram_join_of_links_between_inner_members(spark):
+    """Two components of a node whose only link joins their hubs, which need not be the first or last of theirs."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(8):
+        boiler = fresh(r, 130)
+        for hub in (boiler + fresh(r, 60), boiler + fresh(r, 60)):
+            texts.append(" ".join(hub))
+            for at in (3, 11, 20, 28, 36, 45, 53, 62, 71, 80):
+                texts.append(" ".join([*hub[:at], *fresh(r, 40), *hub[at + 40 :]]))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = links_by_hand(rows, 0.5)
+    assert len({c for c, _ in want.values()}) == 8
+    assert near_by_query(spark, rows, 0.5) == want
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, item), (2, "no such thing here at all my friend"), (3, None), (None, item), (4, "tiny item")], "item_id long, text string")
