@@ -182,6 +182,22 @@ def test_ngram_join_of_links_between_inner_members(spark):
     assert near_by_query(spark, rows, 0.5) == want
 
 
+def test_ngram_join_counts_all_links(spark):
+    """Texts all near one another: each has links to all others, whatever their order by hash."""
+    r = random.Random(7)
+    base, rows = fresh(r, 200), []
+    for i, at in enumerate(r.sample(range(200), 40)):
+        w = list(base)
+        w[at] = "changed"
+        rows.append((i, " ".join(w)))
+    rows += [(40, rows[0][1]), (41, rows[0][1])]
+    want = links_by_hand(rows, 0.8)
+    assert {n for _, n in want.values()} == {39, 41}
+    assert near_by_query(spark, rows, 0.8) == want
+    links = ngram_join.ngram_jaccard_join(table(spark, rows))[1].collect()
+    assert len(links) == len({(x["a"], x["b"]) for x in links}) == 40 * 39 // 2
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, item), (2, "no such thing here at all my friend"), (3, None), (None, item), (4, "tiny item")], "item_id long, text string")
