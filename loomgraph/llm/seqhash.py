@@ -37,7 +37,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(v: np.ndarray) -> np.ndarray:
-    """Sums of v[i] * base**i before each position: substring hashes come from two of them."""
+    """Sums of v[i] * base**i before each position: substring hashes come from two of them.
+
+    Modulo 2**64, which tells sequences of up to some hundred values apart; of
+    longer ones those of the Thue-Morse kind may agree, so that only what is
+    verified afterwards, or short, is compared by these alone.
+    """
     out = np.zeros(len(v) + 1, np.uint64)
     np.cumsum(v * powers(len(v))[0], out=out[1:])
     return out
@@ -49,6 +54,77 @@ def span(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
+_factors = np.zeros(0, np.uint64)
+
+
+def factors(n: int) -> np.ndarray:
+    """The first n of a fixed sequence of odd 64-bit values without structure, one a place."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
+        if n > 1 << 20:  # an odd case, not worth keeping
+            held, _factors = _factors, _factors[: 1 << 12].copy()
+            return held[:n]
+    return _factors[:n]
+
+
+def runs(v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each v[a:b] of runs that follow each other without overlap, none empty.
+
+    Each place of a run has a factor of its own. Powers of one base, as in
+    span(), would give sequences of the Thue-Morse kind one hash modulo 2**64.
+    """
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    bounds = np.empty(2 * n, np.int64)
+    bounds[::2], bounds[1::2] = starts, ends
+    place = np.arange(len(v))
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(v))))
+    most = int(size.max())
+    weighed = np.zeros(len(v) + 1, np.uint64)
+    np.multiply(v, factors(most)[np.minimum(place, most - 1)], out=weighed[:-1])
+    return mix(np.add.reduceat(weighed, bounds)[::2] + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+
+#: A prime modulus whose remainders come by shifts, for a second hash of sequences of any length.
+_PRIME = U(2**31 - 1)
+_PRIME_BASE = 1_103_515_245
+_prime_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, up to that value itself."""
+    x = (x & _PRIME) + (x >> U(31))
+    return (x & _PRIME) + (x >> U(31))
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base, and of its inverse, modulo 2**31 - 1."""
+    if len(_prime_powers[0]) < n:
+        size = max(n, 1 << 12)
+        for i, base in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME)))):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:  # by doubling
+                out = np.r_[out, _rest(out * U(pow(base, len(out), int(_PRIME))))]
+            _prime_powers[i] = out[:size]
+    return _prime_powers[0][:n], _prime_powers[1][:n]
+
+
+def prime_prefix(v: np.ndarray) -> np.ndarray:
+    """Sums before each position of v[i] * base**i modulo 2**31 - 1, themselves not reduced."""
+    out = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(_rest((v >> U(33)) * prime_powers(len(v))[0]), out=out[1:])
+    return out
+
+
+def prime_rest(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1."""
+    x = _rest(x)
+    return np.where(x == _PRIME, U(0), x)
+
+
 def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of text, and a 64-bit hash of each. Words are runs of bytes other than ASCII white space."""
     b = np.frombuffer(text, np.uint8)
@@ -58,7 +134,7 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
-    return starts, ends, span(prefix(BYTE[b]), starts, ends)
+    return starts, ends, runs(BYTE[b], starts, ends)
 
 
 def grams(v: np.ndarray, k: int) -> np.ndarray:
