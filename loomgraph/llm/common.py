@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null doc_id where ids are compared: after all others.
 NULL_ID = 2**63 - 1
@@ -122,19 +123,37 @@ def shown_id() -> F.Column:
     return F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch, which returns a batch or yields some."""
+def tidy() -> None:
+    """Give the memory that this process has freed back to its machine: an idle Python worker otherwise holds on to its peak."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has its own ways
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType, close: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch, which returns a batch or yields some; close is called when a partition ends."""
 
     ship(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(batch)
+                    if isinstance(out, pa.RecordBatch):
+                        yield out
+                    else:
+                        yield from out
+        finally:
+            if close:
+                close()
+            tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -159,6 +178,13 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 def rowed(docs: DataFrame) -> DataFrame:
-    """keyed(docs) with each whole row as _row, so that no column's name can clash."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    """keyed(docs) with the other columns of each row as _row, so that no column's name can clash; unrowed() shows them again. The text goes once."""
+    cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    row = F.struct(cells.alias("cells"), F.col("text").isNotNull().alias("has_text")).alias("_row")
     return keyed(docs.select(F.col("doc_id"), F.col("text"), row), "_row")
+
+
+def unrowed(names: list[str]) -> list[F.Column]:
+    """The columns of docs from the _row and _text of rowed(docs)."""
+    text = F.when(F.col("_row.has_text"), F.col("_text")).alias("text")
+    return [text if c == "text" else F.col("_row.cells")[c].alias(c) for c in names]

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, seqhash
 
@@ -101,14 +102,12 @@ def _variant_rows(batch: pa.RecordBatch):
         for n, line in enumerate(part.column("line").to_pylist()):
             v = _characters(line)
             m = len(v)
-            sums, twice = seqhash.prefix(v), seqhash.prefix(seqhash.mix(v))
+            sums, twice = seqhash.prefix(v), seqhash.prime_prefix(v)
             at = np.arange(m)
-            base = seqhash.powers(m + 1)[1]
-            keys = []
-            for s in (sums, twice):
-                # the part after the deletion moves one place to the left
-                raw = s[:m] + (s[m] - s[1:]) * base[1]
-                keys.append((seqhash.mix(raw + np.uint64(m - 1)), seqhash.mix(s[m:] + np.uint64(m))))
+            # the part after the deletion moves one place to the left
+            one = sums[:m] + (sums[m] - sums[1:]) * seqhash.powers(2)[1][1]
+            two = seqhash.prime_rest(seqhash.prime_rest(twice[:m]) + seqhash.prime_rest(twice[m] - twice[1:]) * seqhash.prime_powers(2)[1][1])
+            keys = [(seqhash.mix(one + np.uint64(m - 1)), seqhash.mix(sums[m:] + np.uint64(m))), (seqhash.mix(two + np.uint64(m - 1)), seqhash.mix(seqhash.prime_rest(twice[m:]) + np.uint64(m)))]
             place = seqhash.mix(at.astype(np.uint64) + np.uint64(m) * np.uint64(1 << 32))
             # equal neighbours give equal variants: one of them will do for the rest alone
             some = np.r_[True, v[1:] != v[:-1]]
@@ -182,11 +181,9 @@ def line_dedup(docs: DataFrame, fuzzy: int = FUZZY) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=["_row", "_text", "n_lines", "n_removed"])
 
     joined = base.join(kept.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "_text", "kept")
-    kind = joined.schema["_row"].dataType.simpleString()
-    out = common.map_arrow(joined, rows, f"_row {kind}, _text string, n_lines long, n_removed long")
-    text = F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias("text")
+    out = common.map_arrow(joined, rows, T.StructType([joined.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
     extra = [F.col(c) for c in ("n_lines", "n_removed") if c not in names]
-    return out.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in names], *extra)
+    return out.select(*common.unrowed(names), *extra)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

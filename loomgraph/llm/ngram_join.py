@@ -264,9 +264,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -
     names = docs.columns
     near = near_duplicates(docs, threshold, n).filter("n_links > 0").select("_id", "_key", "stays").distinct()
     joined = common.rowed(docs).join(near.hint("shuffle_hash"), ["_id", "_key"], "left")
-    alone = joined.filter("stays is null").select("_row")
-    first = joined.filter("stays").dropDuplicates(["_id", "_key"]).select("_row")
-    return alone.unionByName(first).select(*[F.col("_row")[c].alias(c) for c in names])
+    alone = joined.filter("stays is null").select("_row", "_text")
+    first = joined.filter("stays").dropDuplicates(["_id", "_key"]).select("_row", "_text")
+    return alone.unionByName(first).select(*common.unrowed(names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
