@@ -27,9 +27,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a unit above which it is split further; characters of a leaf of the tree.
 LONG, LEAF = 2000, 512
 #: Units that each of a worker's two tables keeps, and characters of those kept.
-KEPT, KEPT_LEN = 200_000, 48
-#: Units that the table of arrays() keeps, 40 bytes or so each, before it starts again.
-HASHED = 2_000_000
+KEPT, KEPT_LEN = 100_000, 48
+#: Units that the table of arrays() keeps, 80 bytes or so each, before it starts again.
+HASHED = 1_000_000
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: In a text without what _HARD finds, each match of _UNIT can be encoded apart: runs of letters, with the blank before, and what stands between them.
 _UNIT = re.compile(f" ?[{_LETTER}]+|(?:[^{_LETTER} ]+| (?![{_LETTER}]))+")
@@ -210,7 +210,7 @@ class Codec:
         return found
 
     def arrays(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, unsigned 32-bit; of a codec that isn't shown. Units are cut and looked up as arrays, by a 64-bit hash."""
+        """Ids of each text, unsigned 32-bit; of a codec that isn't shown. Units are cut and looked up as arrays, by a 64-bit hash, and compared by their characters."""
         segments, owner, out = [], [], [[] for _ in texts]
         for n, text in enumerate(texts):
             if not text:
@@ -231,9 +231,14 @@ class Codec:
         return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
 
     def _forget(self) -> None:
-        """Empty the table of arrays(): sorted hashes of units; for each, where its ids stand in the pool, and how many they are."""
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        self.pool, self.filled = np.zeros(0, np.uint32), 0
+        """Empty the table of arrays(): sorted hashes of units; for each, where its ids stand in the pool, and how many they are; the same of its characters."""
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+        self.pool, self.letters = _Pool(), _Pool()
+
+    def forget(self) -> None:
+        """Free all tables; what they held is encoded again when it comes."""
+        self.units, self.older = {}, {}
+        self._forget()
 
     def _encoded_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units after one another, and the number of each unit's."""
@@ -288,30 +293,37 @@ class Codec:
         own[begins - 1] = own[-1] = False
         kept = own[starts]
         starts, ends = starts[kept], ends[kept]
-        hashes = seqhash.span(seqhash.prefix(seqhash.mix(points.astype(np.uint64) + np.uint64(0x51ED27))), starts, ends)
+        hashes = seqhash.runs(seqhash.mix(points.astype(np.uint64) + np.uint64(0x51ED27)), starts, ends)
         found, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        size = ends - starts
+        own_text = points[_spread(starts, size)]
 
-        if len(self.keys) > HASHED or self.filled > 4 * HASHED:
+        if len(self.keys) > HASHED or self.pool.size > 4 * HASHED:
             self._forget()
         at = np.searchsorted(self.keys, found)
         at[at == len(self.keys)] = 0
         new = self.keys[at] != found if len(self.keys) else np.ones(len(found), bool)
+        known = ~new
+        # a hash only finds a unit; what it found has the same characters, or all goes by the units' texts
+        same = (size[first][which] == size).all() and (points[_spread(starts[first][which], size)] == own_text).all()
+        if same and known.any():
+            mine, kept = first[known], self.place[at[known]]
+            same = (kept[:, 3] == size[mine]).all() and (self.letters.held[_spread(kept[:, 2], kept[:, 3])] == points[_spread(starts[mine], size[mine])]).all()
+        if not same:
+            return [np.frombuffer(self.packed(x), "<u4") for x in parts]
         if new.any():
             units = [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             ids, count = self._encoded_units(units)
-            if self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.filled], ids, np.zeros(len(self.pool) // 2, np.uint32)])
-            else:
-                self.pool[self.filled : self.filled + len(ids)] = ids
+            spelled = size[first[new]]
+            begun, written = self.pool.add(ids), self.letters.add(points[_spread(starts[first[new]], spelled)])
             into = np.searchsorted(self.keys, found[new])
             self.keys = np.insert(self.keys, into, found[new])
-            self.place = np.insert(self.place, into, np.column_stack([self.filled + np.cumsum(count) - count, count]), axis=0)
-            self.filled += len(ids)
+            self.place = np.insert(self.place, into, np.column_stack([begun + np.cumsum(count) - count, count, written + np.cumsum(spelled) - spelled, spelled]), axis=0)
             at = np.searchsorted(self.keys, found)
         place = self.place[at]
         count = place[which, 1]
         after = np.cumsum(count)
-        ids = self.pool[np.arange(after[-1]) + np.repeat(place[which, 0] - after + count, count)]
+        ids = self.pool.held[_spread(place[which, 0], count)]
         bounds = np.append(0, after)[np.append(np.searchsorted(starts, begins), len(starts))]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -328,6 +340,28 @@ class Codec:
         return self._bytes(ids).decode("utf-8", "replace")
 
 
+class _Pool:
+    """An array of unsigned 32-bit values that grows."""
+
+    def __init__(self):
+        self.held, self.size = np.zeros(0, np.uint32), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Append values, and return where they begin."""
+        begun, self.size = self.size, self.size + len(values)
+        if self.size > len(self.held):
+            self.held = np.concatenate([self.held[:begun], values, np.zeros(len(self.held) // 2, np.uint32)])
+        else:
+            self.held[begun : self.size] = values
+        return begun
+
+
+def _spread(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of some runs, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + size, size)
+
+
 def _around(text: str, special: str) -> list[str]:
     parts = text.split(special)
     out = [parts[0]] if parts[0] else []
@@ -354,12 +388,18 @@ _codecs: dict[tuple[str, bool], Codec] = {}
 
 
 def codec(path: str, shown: bool = False) -> Codec:
-    """The worker's own codec of a vocabulary, loaded once."""
+    """The codec of a vocabulary of this process; one at a time, until release()."""
     if (path, shown) not in _codecs:
+        _codecs.clear()
         _codecs[path, shown] = Codec(path, shown)
     return _codecs[path, shown]
 
 
+def release() -> None:
+    """Free the codec and its tables at the end of a partition: the workers of a cluster go on to other tasks."""
+    _codecs.clear()
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Encode every text and decode its ids.
 
@@ -382,7 +422,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 back.append(hashlib.sha256(b"".join([x[1] for x in units]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", release)
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -395,7 +435,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             ids = [x.astype(np.int32) for x in c.arrays([x or "" for x in part.column("text").to_pylist()])]
             yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return common.map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), rows, "doc_id long, ids array<int>")
+    return common.map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), rows, "doc_id long, ids array<int>", release)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
