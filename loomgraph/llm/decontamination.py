@@ -13,6 +13,8 @@ fixed size; it only spares rows, as the join that follows is exact.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,8 @@ from . import common, seqhash
 
 #: Tokens of the shortest tile; share of an item's tokens that tiles must cover.
 MIN_TILE, COVERAGE = 5, 0.5
-#: Bits of the seeds' bitmap, 1 MB whatever the benchmark's size.
-BITS = 1 << 23
+#: Bits of the seeds' bitmap, 1 MB whatever the benchmark's size, and of a part that an executor makes.
+BITS, PAGE = 1 << 23, 1 << 13
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
@@ -66,29 +68,35 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, shortest: int = MIN_TILE) ->
         if longest > 2 * s:
             s = longest
             continue
-        while found:
-            found.sort(key=lambda x: (-x[0], x[1], x[2]))
-            rest = []
-            for n, p, q in found:
-                ok = free[0][p : p + n] & free[1][q : q + n]
-                if ok.all():
-                    free[0][p : p + n] = free[1][q : q + n] = False
-                    tiles.append((p, q, n))
-                else:  # what is left of it on either side may still be a tile
-                    edges = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(np.int8)))
-                    rest += [(int(b - a), p + int(a), q + int(a)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= s]
-            found = rest
+        heap = [(-n, p, q) for n, p, q in found]
+        heapify(heap)
+        while heap:  # the longest first, then the first in the item and in the document
+            n, p, q = heappop(heap)
+            ok = free[0][p : p - n] & free[1][q : q - n]
+            if ok.all():
+                free[0][p : p - n] = free[1][q : q - n] = False
+                tiles.append((p, q, -n))
+            else:  # what is left of it on either side may still be a tile
+                edges = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(np.int8)))
+                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    if b - a >= s:
+                        heappush(heap, (a - b, p + a, q + a))
         if s == shortest:
             return sorted(tiles)
         s = max(shortest, s // 2)
 
 
+def _seeds(v: np.ndarray, shortest: int) -> np.ndarray:
+    """Hashes of the runs of `shortest` tokens of v; of fewer tokens, that of all of them."""
+    return seqhash.grams(v, min(shortest, len(v))) if len(v) else v
+
+
 def _seed_rows(shortest: int):
     def rows(batch: pa.RecordBatch):
         out = []
         for text, i in zip(common.raw(batch.column("text")), batch.column("item_id").to_pylist(), strict=True):
             v = token_hashes(text)
-            for p, h in enumerate(seqhash.grams(v, shortest).view(np.int64).tolist()):
+            for p, h in enumerate(_seeds(v, shortest).view(np.int64).tolist()):
                 out.append((h, i, p, len(v)))
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["h", "item_id", "p", "n"])
@@ -96,6 +104,15 @@ def _seed_rows(shortest: int):
     return rows
 
 
+def _page_rows(batch: pa.RecordBatch):
+    bits = []
+    for slots in batch.column("slots").to_pylist():
+        own = np.zeros(PAGE, np.uint8)
+        own[slots] = 1
+        bits.append(np.packbits(own, bitorder="little").tobytes())
+    yield pa.record_batch([batch.column("page"), pa.array(bits, pa.binary())], names=["page", "bits"])
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h.view(np.uint64) & np.uint64(BITS - 1)).astype(np.int64)
 
@@ -103,17 +120,20 @@ def _slot(h: np.ndarray) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of keyed docs and items of the benchmark whose tiles cover `coverage` of the item: _id, _key, item_id, coverage, n_tiles.
 
-    Items of fewer than `shortest` tokens aren't tested (so short a run stands
-    in clean texts too); null texts hold nothing; null item_ids are left out;
-    of rows that share an item_id each text is tested and the best counts.
+    An item of fewer than `shortest` tokens, a run that stands in clean texts
+    too, is held by documents that are that item and nothing else. Items and
+    documents without tokens, and null texts, hold nothing; null item_ids are
+    left out; of rows that share an item_id each text is tested and the best
+    counts.
     """
     spark = docs.sparkSession
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     seeds = common.written(common.map_arrow(items, _seed_rows(shortest), "h long, item_id long, p long, n long"))
-    words = seeds.select((F.col("h").bitwiseAND(F.lit(BITS - 1))).alias("slot")).select((F.col("slot") / 8).cast("int").alias("at"), F.expr("shiftleft(1, cast(slot % 8 as int))").alias("bit"))
+    slots = seeds.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).alias("slot")).distinct()
+    pages = common.map_arrow(slots.groupBy(F.expr(f"cast(slot div {PAGE} as int)").alias("page")).agg(F.collect_list(F.expr(f"cast(slot % {PAGE} as int)")).alias("slots")), _page_rows, "page int, bits binary")
     bitmap = np.zeros(BITS // 8, np.uint8)
-    for at, bit in words.groupBy("at").agg(F.expr("bit_or(bit)")).collect():  # BITS / 8 rows at most
-        bitmap[at] = bit
+    for page, bits in pages.collect():  # BITS / PAGE rows of PAGE / 8 bytes at most
+        bitmap[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bits, np.uint8)
     held = spark.sparkContext.broadcast(bitmap.tobytes())
 
     def rows(batch: pa.RecordBatch):
@@ -121,7 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = MIN_TILE
         for part in common.slices(batch, "_text"):
             hs, n = [], []
             for i, text in enumerate(common.raw(part.column("_text"))):
-                h = seqhash.grams(token_hashes(text), shortest)
+                h = _seeds(token_hashes(text), shortest)
                 slot = _slot(h)
                 h = np.unique(h[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1])
                 hs.append(h)
@@ -145,7 +165,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = MIN_TILE
                 if len(known) > 1000:
                     known.clear()
                 item = known.setdefault(x["text"], token_hashes(x["text"].encode()))
-                tiles = greedy_tiles(item, v, shortest)
+                if len(item) < shortest:
+                    tiles = [(0, 0, len(item))] if np.array_equal(item, v) else []
+                else:
+                    tiles = greedy_tiles(item, v, shortest)
                 best[x["item_id"]] = max(best.get(x["item_id"], (0.0, 0)), (sum(t[2] for t in tiles) / len(item), len(tiles)))
             out += [(i, key, item, *found) for item, found in best.items() if found[0] >= coverage]
         if out:
@@ -168,7 +191,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int =
     """docs with all their columns, less those that hold an item of the benchmark."""
     base = common.rowed(docs)
     found = contaminated(base, benchmark, shortest, coverage).select("_id", "_key").distinct()
-    return base.join(found, ["_id", "_key"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return base.join(found, ["_id", "_key"], "left_anti").select(*common.unrowed(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from . import common
 
 #: n-grams of a profile; documents a language's profile is learned from, about (of languages with fewer, all).
 PROFILE, SAMPLE = 300, 2000
-#: Languages that are learned, the most frequent ones; it bounds what is broadcast.
-LANGUAGES = 1000
+#: Languages that may be learned, which bounds the profiles on the driver and in the broadcast (4 kB or so each); more are refused, never left out.
+LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -68,9 +68,11 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys[head] >> np.uint64(48)).astype(np.int64), keys[head] & np.uint64((1 << 48) - 1), count
 
 
-def _learned(rows: DataFrame, size: int, sample: int) -> dict[str, np.ndarray]:
+def _learned(rows: DataFrame, size: int, sample: int, languages: int) -> dict[str, np.ndarray]:
     """Profiles of the languages of rows (doc_id, text, lang). Only the profiles come to the driver."""
-    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    many = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if (found := many.count()) > languages:
+        raise ValueError(f"{found} languages, where {languages} may be learned")
     # a share of each language by a hash of the id: about `sample` documents
     dealt = (F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64) + 0.5) < F.lit(float(sample)) / F.col("n")
     taken = rows.join(F.broadcast(many), "lang").filter(dealt).select("lang", "text")
@@ -127,7 +129,7 @@ class Profiles:
         return langs, scores
 
 
-def identify_language(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
+def identify_language(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
     """The language of every whole text, by profiles learned from documents whose crc32(doc_id) mod 5 isn't 0.
 
     Returns, for every row: doc_id, held_out, lang_pred, score (1 less the
@@ -135,12 +137,12 @@ def identify_language(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE
     letter is `und` at score 0, as is every text where nothing could be learned.
     Ties go to the first language by name. Rows without a doc_id count as not
     held out, but nothing is learned from them. Profiles are learned from about
-    `sample` documents a language, taken by a hash of the id, at any input size,
-    for the LANGUAGES most frequent ones.
+    `sample` documents a language, taken by a hash of the id, at any input size.
+    ValueError where there are more than `languages` of them.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     known = docs.filter(F.col("doc_id").isNotNull() & ~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    profiles = docs.sparkSession.sparkContext.broadcast(Profiles(_learned(known, size, sample), size))  # size n-grams a language
+    profiles = docs.sparkSession.sparkContext.broadcast(Profiles(_learned(known, size, sample, languages), size))  # size n-grams a language
 
     def rows(batch: pa.RecordBatch):
         for part in common.slices(batch, "text", 1 << 19):
