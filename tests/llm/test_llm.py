@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harness import compare
-from loomgraph.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, ngram_join, registry, substring_dedup, suffix_array_dedup, token_records, toxicity
+from loomgraph.llm import bpe, common, decontamination, exact_dedup, language_id, line_dedup, ngram_join, registry, seqhash, substring_dedup, suffix_array_dedup, token_records, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, `n_lines` int"
@@ -202,10 +203,74 @@ def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, item), (2, "no such thing here at all my friend"), (3, None), (None, item), (4, "tiny item")], "item_id long, text string")
     w = item.split()
-    rows = [(1, f"before {item.upper()}, after"), (2, " ".join(["x", *w[6:], "y z", *w[:6]])), (3, " ".join(w[:5]) + " nothing else"), (4, None), (5, ""), (6, "tiny item"), (None, item), (7, "clean text of its own")]
+    rows = [(1, f"before {item.upper()}, after"), (2, " ".join(["x", *w[6:], "y z", *w[:6]])), (3, " ".join(w[:5]) + " nothing else"), (4, None), (5, ""), (6, "Tiny item!"), (None, item), (7, "clean text of its own"), (8, "a tiny item here")]
     got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontamination.decontaminate(table(spark, rows), bench).collect()}
-    assert got == {1: (True, [1]), 2: (True, [1]), 3: (False, []), 4: (False, []), 5: (False, []), 6: (False, []), None: (True, [1]), 7: (False, [])}
-    assert sorted(r["doc_id"] for r in decontamination.without_contaminated(table(spark, rows), bench).collect()) == [3, 4, 5, 6, 7]
+    assert got == {1: (True, [1]), 2: (True, [1]), 3: (False, []), 4: (False, []), 5: (False, []), 6: (True, [4]), None: (True, [1]), 7: (False, []), 8: (False, [])}
+    assert sorted(r["doc_id"] for r in decontamination.without_contaminated(table(spark, rows), bench).collect()) == [3, 4, 5, 7, 8]
+
+
+def tiles_by_hand(item, doc, shortest=5):
+    """Greedy string tiling as it is defined: the longest match of free tokens is marked, the first of equal ones, until none has `shortest`."""
+    free, out = ([True] * len(item), [True] * len(doc)), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for q in range(len(doc)):
+                n = 0
+                while p + n < len(item) and q + n < len(doc) and free[0][p + n] and free[1][q + n] and item[p + n] == doc[q + n]:
+                    n += 1
+                best = max(best, (n, -p, -q))
+        n, p, q = best[0], -best[1], -best[2]
+        if n < shortest:
+            return sorted(out)
+        free[0][p : p + n], free[1][q : q + n] = [False] * n, [False] * n
+        out.append((p, q, n))
+
+
+def covered_by_hand(items, text):
+    """Item ids, with the share that tiles cover, that a text holds."""
+    tokens = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()  # noqa: E731  of ASCII texts
+    out = {}
+    for i, t in items:
+        a, b = tokens(t or ""), tokens(text or "")
+        if i is None or not a:
+            continue
+        share = sum(n for _, _, n in tiles_by_hand(a, b)) / len(a) if len(a) >= 5 else float(a == b)
+        if share >= 0.5:
+            out[i] = max(out.get(i, 0), share)
+    return out
+
+
+def benchmark_rows(r, n):
+    """Items of few words, some of which are long, short, repeated or null; and texts that hold passages of them, in any order."""
+    word = lambda: f"w{r.randrange(30)}"
+    items = [(i, " ".join(word() for _ in range(r.choice([2, 4, 12, 20, 45])))) for i in range(n)] + [(n, None), (None, "no id at all here today"), (0, "an item that shares its id with another one")]
+    texts = []
+    for k in range(60):
+        parts = [word() for _ in range(r.randrange(25))]
+        for _ in range(r.randrange(3)):
+            own = (r.choice(items)[1] or "").split()
+            a = r.randrange(len(own) + 1)
+            parts[r.randrange(len(parts) + 1) : 0] = own[a:] + [word()] * r.randrange(2) + own[:a]
+        texts.append((k, " ".join(parts)))
+    return items, [*texts, (100, items[0][1]), (101, f"{items[1][1]}."), (102, None), (103, ""), (104, "?")]
+
+
+def test_decontamination_is_brute_force(spark):
+    items, rows = benchmark_rows(random.Random(11), 12)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], round(r["coverage"], 9)) for r in decontamination.decontaminate(table(spark, rows), bench).collect()}
+    want = {i: covered_by_hand(items, t) for i, t in rows}
+    assert got == {i: (sorted(x), round(max(x.values(), default=0.0), 9)) for i, x in want.items()}
+    assert sum(map(bool, want.values())) > 10
+
+
+def test_greedy_tiles_are_those_of_the_definition():
+    r = random.Random(12)
+    for _ in range(150):
+        a, b = ([r.randrange(3) for _ in range(r.randrange(1, 60))] for _ in range(2))
+        got, want = decontamination.greedy_tiles(np.array(a, np.uint64), np.array(b, np.uint64)), tiles_by_hand(a, b)
+        assert got == want
 
 
 def test_greedy_tiles_cover_what_longest_matches_cover():
@@ -247,6 +312,40 @@ def test_array_lookup_is_the_library(monkeypatch):
         assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(size):
+    """Two different sequences of two values that sums of powers modulo 2**64 don't tell apart."""
+    t = [0]
+    while len(t) < size:
+        t += [1 - x for x in t]
+    return "".join("xq"[x] for x in t), "".join("qx"[x] for x in t)
+
+
+@pytest.mark.parametrize("size", [2048, 4096])
+def test_sequences_that_a_polynomial_modulo_two_to_64_confuses(spark, size):
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(size)
+    assert len(set(seqhash.words(f"{a} {b} {a}".encode())[2].tolist())) == 2
+    whole = Tokenizer.from_file(bpe.vocabulary_path())
+    want = [whole.encode(x, add_special_tokens=False).ids for x in (a, b, a + " " + b)]
+    assert [x.tolist() for x in bpe.Codec(bpe.vocabulary_path()).arrays([a, b, a + " " + b])] == want
+    rows = [(1, " ".join([a] * 60)), (2, " ".join([b] * 60)), (3, " ".join([a] * 50))]
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()} == {1: 0, 2: 0, 3: 50}
+    lines = [(1, b), (2, a), (3, a[:-1]), (4, b[1:])]
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, lines)).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_array_lookup_compares_texts(monkeypatch):
+    """With a hash that makes all units one, ids still are the library's."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(bpe.vocabulary_path())
+    monkeypatch.setattr(seqhash, "runs", lambda v, a, b: np.zeros(len(a), np.uint64))
+    c = bpe.Codec(bpe.vocabulary_path())
+    for texts in (["word"], ["some words of a text", "others"], ["word"], ["wort"]):
+        assert [x.tolist() for x in c.arrays(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_records(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -276,10 +375,69 @@ def test_language_id(spark):
     assert got[2] == got[3] == "und" and got[1] == got[None] == got[4] == "en"
 
 
+def grams_by_hand(text):
+    """1- to 3-grams of the words of a text, with a blank (1) round each word, as they are packed."""
+    out = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        c = [1, *map(ord, w), 1]
+        out.update(c[1:-1])
+        out.update(a << 16 | b for a, b in zip(c, c[1:]))
+        out.update(x << 32 | y << 16 | z for x, y, z in zip(c, c[1:], c[2:]))
+    return [g for g, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def test_language_id_is_brute_force(spark):
+    words = {"aa": "der die das und ist nicht ein wir haben schön".split(), "bb": "the and is not one we have some good thing".split(), "cc": "le la et est pas un nous avons très bon".split()}
+    r = random.Random(13)
+    rows = [(n, " ".join(r.choice(words[lang]) for _ in range(r.randrange(1, 30))), lang) for n in range(90) for lang in [r.choice("aabbcc") * 2]]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "1 2 ?", "cc"), (203, "gut and bon", None), (None, "the die le", "aa"), (204, "Ein THE Très", "bb")]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id long, text string, lang string")
+    learned = {}
+    for i, t, x in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 and x and t is not None:
+            learned.setdefault(x, []).append(t)
+    profiles = {x: {g: n for n, g in enumerate(grams_by_hand("\n".join(ts))[:300])} for x, ts in sorted(learned.items())}
+    want = {}
+    for i, t, _ in rows:
+        own = grams_by_hand(t or "")[:300]
+        far = {x: sum(abs(p[g] - n) if g in p else 300 for n, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want[i] = (best, round(1 - far[best] / (300 * len(own)), 9)) if own else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.identify_language(docs).collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        language_id.identify_language(docs, languages=2)
+
+
+def scores_by_hand(model, text):
+    """The softmax of the word of a text whose n-grams have the highest mean."""
+    most = None
+    for w in set(toxicity.folded(text).split()):
+        _, buckets, _ = toxicity.subwords(b" " + w + b" ")
+        z = model.bias + float(model.logits[buckets].astype(float).mean() if len(buckets) else 0)
+        most = z if most is None else max(most, z)
+    return 1 / (1 + np.exp(-(model.bias if most is None else most)))
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
-    out = toxicity.score_toxicity(docs, labels).join(labels, "doc_id")
+    scored = toxicity.score_toxicity(docs, labels).cache()
+    out = scored.join(labels, "doc_id").filter("held_out")
     assert out.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.85
+    model = toxicity.learn(docs, labels)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in scored.collect():
+        assert abs(r["score"] - scores_by_hand(model, text[r["doc_id"]])) < 1e-6
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Null, repeated and odd labels, texts that are null or empty, and labels of held-out rows, which count for nothing."""
+    rows = [(n, "you vile oaf" if n % 2 else "a calm day") for n in range(60)] + [(60, None), (61, ""), (62, "v1le 0af"), (None, "vile oaf"), (63, "calm " * 60_000 + "vile oaf")]
+    marks = [(n, n % 2 if zlib.crc32(str(n).encode()) % 5 else 1 - n % 2) for n in range(60)] + [(60, 1), (61, None), (62, 7), (None, 1), (3, 1), (3, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(table(spark, rows), labels).collect()}
+    assert all(got[n] == n % 2 for n in range(60)) and got[61] == 0 and got[None] == got[63] == 1
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.score_toxicity(table(spark, odd()), none).collect()} == {0}
 
@@ -296,14 +454,97 @@ def test_empty_table(spark, name, tmp_path):
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+def line_dedup_by_hand(rows):
+    """(doc_id, text) with unique ids; None last."""
+    at, first = lambda i, n: (10**9 if i is None else i, n), {}
+    split = {i: (t or "").split("\n") for i, t in rows}
+    for i, lines in split.items():
+        for n, line in enumerate(lines):
+            if x := line.strip(" \t\r\v\f"):
+                first[x] = min(first.get(x, at(i, n)), at(i, n))
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return len(b) - len(a) <= 1 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
+
+    gone = {x for x in first for y in first if len(x) >= 16 and len(y) >= 16 and first[y] < first[x] and near(x, y)}
+    out = {}
+    for i, t in rows:
+        kept = [x for n, x in enumerate(split[i]) if not (s := x.strip(" \t\r\v\f")) or (first[s] == at(i, n) and s not in gone)]
+        out[i] = None if t is None else "\n".join(kept)
+    return out
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """Each stage on the input that the one before left, and run(), against plain Python, with nulls, empties, ties and columns that clash."""
+    from tokenizers import Tokenizer
+
+    items, texts = benchmark_rows(random.Random(21), 12)
+    rows = [(i, t) for i, t in dict(odd(5)).items()] + [(i + 100, t) for i, t in texts] + [(300 + k, t) for k, t in enumerate(x for _, x in of_a_template(random.Random(5), 6))]
+    rows += [(400 + n, f"text number {n} calls you a vile oaf\nand a line that several texts have{'!' * (n % 2)}") for n in range(30)] + [(430 + n, f"text number {n} tells of a calm day in a far country\nand a line that several texts have") for n in range(30)]
+    table(spark, rows).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(400 + n, int(n < 30)) for n in range(60)] + [(None, 1), (30, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    model = toxicity.learn(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    want = [(i, t) for i, t in rows if scores_by_hand(model, t or "") < 0.5]
+    steps = [want]
+    want = list(line_dedup_by_hand(want).items())
+    steps.append(want)
+    left = {min(g, key=lambda x: 10**9 if x == "None" else int(x)) for g in components_by_hand(want)}
+    want = [(i, t) for i, t in want if str(i) in left]
+    steps.append(want)
+    want = [(i, t) for i, t in want if not covered_by_hand(items, t)]
+    steps.append(want)
+    sizes = [len(rows), *map(len, steps)]
+    assert sizes[1] < sizes[0] and sizes[3] < sizes[2] and sizes[4] < sizes[3] and steps[0] != steps[1]
+
     kept = docs
-    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, kept, FOLDER)
-        if n < 4:
-            assert out.columns == docs.columns
-            assert out.count() <= kept.count()
-        kept = spark.createDataFrame(out.collect(), out.schema)
-    assert kept.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert kept.count() > 100
+    for (_, stage), known in zip(corpus_pipeline.STAGES, steps):
+        kept = common.written(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == docs.columns
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, known))
+    whole = Tokenizer.from_file(bpe.vocabulary_path())
+    final = []
+    for i, t in want:
+        ids = whole.encode(t or "", add_special_tokens=False).ids
+        final.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(str, (tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()))) == sorted(map(str, final))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_that_clash(spark):
+    """Columns named as the operators name theirs are carried, whatever they hold."""
+    names = ["_key", "_row", "_text", "cells", "has_text", "kept", "cls", "node", "h", "p"]
+    docs = table(spark, odd(8)).withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (toxicity.without_toxic(docs, labels), line_dedup.line_dedup(docs).drop("n_removed"), ngram_join.one_of_each(docs), decontamination.without_contaminated(docs, bench)):
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*names).collect()} == {tuple(names)}
+
+
+def test_long_texts(spark):
+    """Texts of some megabytes, longer than the blocks that operators work in, go through all of them whole."""
+    r = random.Random(31)
+    words = [f"{r.choice('abcdef')}{r.randrange(10**5)}" for _ in range(90_000)]
+    long = " ".join(words)
+    rows = [(1, long), (2, long.replace(words[45_000], "changed", 1)), (3, " ".join(words[80_000:80_100])), (4, "x" * 1_200_000), (5, "x" * 1_200_000 + "y"), (6, long)]
+    docs = table(spark, rows)
+    gone = {x["doc_id"]: x["n_removed"] for x in substring_dedup.substring_dedup(docs).collect()}
+    assert gone[1] == gone[4] == gone[5] == 0 and gone[6] == 90_000 and gone[3] == 100 and gone[2] == 90_000 - sum(w == "changed" for w in long.replace(words[45_000], "changed", 1).split())
+    bytes_gone = {x["doc_id"]: x["n_removed"] for x in suffix_array_dedup.suffix_array_dedup(docs).collect()}
+    assert bytes_gone[1] == bytes_gone[4] == 0 and bytes_gone[6] == len(long) and bytes_gone[5] == 1_200_000 and 0 < len(long) - bytes_gone[2] < 200
+    assert {x["doc_id"]: x["keep_id"] for x in exact_dedup.exact_dedup(docs).collect()} == {1: 6, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert {x["doc_id"]: x["class_id"] for x in ngram_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
+    assert {x["doc_id"]: x["n_removed"] for x in line_dedup.line_dedup(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1} or words[45_000] != "changed"
+    item = spark.createDataFrame([(1, " ".join(words[60_000:60_040]))], "item_id long, text string")
+    assert {x["doc_id"] for x in decontamination.decontaminate(docs, item).filter("contaminated").collect()} == {1, 2, 6}
