@@ -231,15 +231,10 @@ class Codec:
         return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
 
     def _forget(self) -> None:
-        """Empty the table of arrays(): sorted hashes of units; for each, where its ids stand in the pool, and how many they are; the same of its characters."""
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+        """Empty the table of arrays(): sorted hashes of units; for each its spelling, where its ids stand in the pool, how many they are, and where its characters stand if it is long."""
+        self.keys, self.place, self.spelled_units = np.zeros(0, np.uint64), np.zeros((0, 3), np.int64), np.zeros((0, 3), np.uint64)
         self.pool, self.letters = _Pool(), _Pool()
 
-    def forget(self) -> None:
-        """Free all tables; what they held is encoded again when it comes."""
-        self.units, self.older = {}, {}
-        self._forget()
-
     def _encoded_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units after one another, and the number of each unit's."""
         strung, single, long = [], [], []
@@ -293,10 +288,9 @@ class Codec:
         own[begins - 1] = own[-1] = False
         kept = own[starts]
         starts, ends = starts[kept], ends[kept]
-        hashes = seqhash.runs(seqhash.mix(points.astype(np.uint64) + np.uint64(0x51ED27)), starts, ends)
-        found, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         size = ends - starts
-        own_text = points[_spread(starts, size)]
+        spelled, long, far = _spellings(points, starts, size)
+        found, first, which = np.unique(seqhash.mix(spelled[:, 0] * np.uint64(0x9E3779B97F4A7C15) + seqhash.mix(spelled[:, 1] + spelled[:, 2])), return_index=True, return_inverse=True)
 
         if len(self.keys) > HASHED or self.pool.size > 4 * HASHED:
             self._forget()
@@ -304,21 +298,30 @@ class Codec:
         at[at == len(self.keys)] = 0
         new = self.keys[at] != found if len(self.keys) else np.ones(len(found), bool)
         known = ~new
-        # a hash only finds a unit; what it found has the same characters, or all goes by the units' texts
-        same = (size[first][which] == size).all() and (points[_spread(starts[first][which], size)] == own_text).all()
+        # a hash only finds a unit; what it found is spelled alike, or all goes by the units' texts
+        same = (spelled[first][which] == spelled).all()
+        if same and len(far):
+            own = np.cumsum(long) - 1
+            begun = np.cumsum(size[long]) - size[long]
+            same = (far == far[_spread(begun[own[first[which[long]]]], size[long])]).all()
         if same and known.any():
             mine, kept = first[known], self.place[at[known]]
-            same = (kept[:, 3] == size[mine]).all() and (self.letters.held[_spread(kept[:, 2], kept[:, 3])] == points[_spread(starts[mine], size[mine])]).all()
+            same = (self.spelled_units[at[known]] == spelled[mine]).all()
+            if same and long[mine].any():
+                mine, kept = mine[long[mine]], kept[long[mine]]
+                same = (self.letters.held[_spread(kept[:, 2], size[mine])] == far[_spread(begun[own[mine]], size[mine])]).all()
         if not same:
             return [np.frombuffer(self.packed(x), "<u4") for x in parts]
         if new.any():
             units = [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             ids, count = self._encoded_units(units)
-            spelled = size[first[new]]
-            begun, written = self.pool.add(ids), self.letters.add(points[_spread(starts[first[new]], spelled)])
+            mine = first[new]
+            held = np.where(long[mine], size[mine], 0)
+            put, written = self.pool.add(ids), self.letters.add(points[_spread(starts[mine][long[mine]], size[mine][long[mine]])])
             into = np.searchsorted(self.keys, found[new])
             self.keys = np.insert(self.keys, into, found[new])
-            self.place = np.insert(self.place, into, np.column_stack([begun + np.cumsum(count) - count, count, written + np.cumsum(spelled) - spelled, spelled]), axis=0)
+            self.spelled_units = np.insert(self.spelled_units, into, spelled[mine], axis=0)
+            self.place = np.insert(self.place, into, np.column_stack([put + np.cumsum(count) - count, count, written + np.cumsum(held) - held]), axis=0)
             at = np.searchsorted(self.keys, found)
         place = self.place[at]
         count = place[which, 1]
@@ -340,6 +343,33 @@ class Codec:
         return self._bytes(ids).decode("utf-8", "replace")
 
 
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _spellings(points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three values for each unit, which ones are long, and the characters of those.
+
+    Up to 16 characters below 256 are packed into two of the values and name a
+    unit. Of longer units, and of others, one is a hash. The third is the size,
+    and whether it is a hash.
+    """
+    wide = np.concatenate([[0], np.cumsum(points > 255)])
+    long = (size > 16) | (wide[starts + size] > wide[starts])
+    bytes_ = np.zeros(len(points) + 24, np.uint8)
+    bytes_[: len(points)] = points  # truncated where wide, which those units don't use
+    eight = np.ndarray((len(points) + 16,), "<u8", bytes_, strides=(1,))
+    out = np.empty((len(starts), 3), np.uint64)
+    out[:, 0] = eight[starts] & _LOW[np.minimum(size, 8)]
+    out[:, 1] = eight[np.minimum(starts + 8, len(points))] & _LOW[np.clip(size - 8, 0, 8)]
+    out[:, 2] = size.astype(np.uint64) + (long.astype(np.uint64) << np.uint64(62))
+    far = np.zeros(0, np.uint32)
+    if long.any():
+        far, own = points[_spread(starts[long], size[long])], size[long]
+        ends = np.cumsum(own)
+        out[long, 0], out[long, 1] = seqhash.runs(seqhash.mix(far.astype(np.uint64) + np.uint64(0x51ED27)), ends - own, ends), 0
+    return out, long, far
+
+
 class _Pool:
     """An array of unsigned 32-bit values that grows."""
 

@@ -134,7 +134,6 @@ def write_token_records(docs: DataFrame, where: str, end_id: int = 2, vocabulary
         finally:
             if out is not None:
                 out.close()
-            bpe.release()
             common.tidy()
         if out is not None:
             with _open(f"{name}.idx", True) as f:
