@@ -340,9 +340,9 @@ def test_array_lookup_compares_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(bpe.vocabulary_path())
-    monkeypatch.setattr(seqhash, "runs", lambda v, a, b: np.zeros(len(a), np.uint64))
     c = bpe.Codec(bpe.vocabulary_path())
-    for texts in (["word"], ["some words of a text", "others"], ["word"], ["wort"]):
+    monkeypatch.setattr(seqhash, "mix", lambda x: x * np.uint64(0))
+    for texts in (["word"], ["some words of a text", "others"], ["word"], ["wort"], ["Donaudampfschifffahrt", "Donaudampfschiffskran", "\u6f22\u5b57"], ["Donaudampfschiffsfahrt"]):
         assert [x.tolist() for x in c.arrays(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
