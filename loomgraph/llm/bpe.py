@@ -418,9 +418,8 @@ _codecs: dict[tuple[str, bool], Codec] = {}
 
 
 def codec(path: str, shown: bool = False) -> Codec:
-    """The codec of a vocabulary of this process; one at a time, until release()."""
+    """The codec of a vocabulary of this process, until release()."""
     if (path, shown) not in _codecs:
-        _codecs.clear()
         _codecs[path, shown] = Codec(path, shown)
     return _codecs[path, shown]
 
