@@ -55,33 +55,47 @@ def triangles(edges: DataFrame) -> DataFrame:
     return out.select("node", "triangles", F.when(F.col("n") < 2, 0.0).otherwise(2.0 * F.col("triangles") / (F.col("n") * (F.col("n") - 1))).alias("coefficient"))
 
 
-def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node, score after so many rounds, from 1 / n; what nodes without edges out hold is dealt to all."""
+def settled(scores: DataFrame, tolerance: float, *columns: str) -> bool:
+    """Whether no node's score differs by the tolerance from its `old_` one."""
+    if tolerance <= 0:
+        return False
+    moved = scores.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"old_{c}")) for c in columns], F.lit(0.0)))).first()[0]
+    return moved is None or moved < tolerance
+
+
+def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 0.0001) -> DataFrame:
+    """node, score after so many rounds, or when no score moves by the tolerance, from 1 / n; what nodes without edges out hold is dealt to all."""
     step = written(edges.select("src", "dst"))
     n_out = step.groupBy("src").agg(F.count("*").alias("n_out"))
     rank = written(nodes(step).join(n_out.withColumnRenamed("src", "node"), "node", "left"))
-    n = rank.count()
+    n = max(rank.count(), 1)
     rank = rank.withColumn("score", F.lit(1.0 / n))
     for _ in range(rounds):
         loose = rank.filter("n_out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
         sent = step.join(rank.select(F.col("node").alias("src"), (F.col("score") / F.col("n_out")).alias("part")), "src").groupBy("dst").agg(F.sum("part").alias("got"))
         base = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        rank = written(rank.join(sent.withColumnRenamed("dst", "node"), "node", "left").crossJoin(F.broadcast(loose)).select("node", "n_out", base.alias("score")))  # loose is one row
+        rank = written(rank.join(sent.withColumnRenamed("dst", "node"), "node", "left").crossJoin(F.broadcast(loose)).select("node", "n_out", F.col("score").alias("old_score"), base.alias("score")))  # loose is one row
+        if settled(rank, tolerance, "score"):
+            break
     return rank.select("node", "score")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node, community: each round every node takes its neighbours' most frequent label, the least of those that tie."""
+def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """node, community: each round every node takes its neighbours' most frequent label, the least of those that tie, until no label changes or the rounds are over. Nodes of loops alone keep their own."""
     both = written(undirected(edges))
-    label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    label = written(nodes(edges).withColumn("community", F.col("node")))
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
-        label = written(votes.groupBy("src").agg(F.min(F.struct(-F.col("n"), "community")).alias("best")).select(F.col("src").alias("node"), F.col("best.community").alias("community")))
+        best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("n"), "community")).alias("best"))
+        new = written(label.withColumnRenamed("community", "old").join(best, "node", "left").select("node", "old", F.coalesce("best.community", "old").alias("community")))
+        label = new.select("node", "community")
+        if new.filter("old <> community").isEmpty():
+            break
     return label
 
 
 def k_core(edges: DataFrame) -> DataFrame:
-    """node, core: the h-index of the neighbours' estimates, from the degree on, until nothing changes."""
+    """node, core: the h-index of the neighbours' estimates, from the degree on, until nothing changes; 0 for nodes of loops alone."""
     both = written(undirected(edges))
     core = written(both.groupBy("src").agg(F.count("*").cast("int").alias("core")).withColumnRenamed("src", "node"))
     while True:
@@ -93,15 +107,17 @@ def k_core(edges: DataFrame) -> DataFrame:
         changed = new.alias("a").join(core.alias("b"), "node").filter("a.core <> b.core").limit(1).count()
         core = new
         if not changed:
-            return core
+            return nodes(edges).join(core, "node", "left").select("node", F.coalesce("core", F.lit(0)).alias("core"))
 
 
-def shortest_distances(edges: DataFrame, source: int, most: int = 50) -> DataFrame:
-    """node, cost from source along edges (src, dst, weight not negative): relaxation of what changed, a round a join."""
+def shortest_distances(edges: DataFrame, source: int) -> DataFrame:
+    """node, cost from source along edges (src, dst, weight): relaxation of what changed, a round a join, until nothing does. ValueError for a weight below 0, for which see bellman_ford()."""
     step = written(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    if not step.filter("weight < 0").isEmpty():
+        raise ValueError("a negative weight")
     best = written(edges.sparkSession.createDataFrame([(source, 0.0)], "node long, cost double"))
     front = best
-    for _ in range(most):
+    while True:
         new = front.join(step.withColumnRenamed("src", "node"), "node").groupBy("dst").agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
         both = best.join(new.withColumnRenamed("dst", "node"), "node", "full")
         better = F.col("cost").isNull() | (F.col("new") < F.col("cost"))

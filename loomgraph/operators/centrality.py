@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .algorithms import nodes, undirected
+from .algorithms import nodes, settled, undirected
 
 
 def _one_row(rows: DataFrame, *aggs: Column) -> DataFrame:
@@ -19,8 +21,8 @@ def _received(step: DataFrame, scores: DataFrame, value: Column) -> DataFrame:
     return step.join(scores.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(value).alias("got")).withColumnRenamed("dst", "node")
 
 
-def _ranked(edges: DataFrame, rounds: int, damping: float, share, start: int | None) -> DataFrame:
-    """A walk with restarts: share gives what a node sends along each of its edges; restarts go to all nodes or to start."""
+def _ranked(edges: DataFrame, rounds: int, damping: float, tolerance: float, share, start: int | None) -> DataFrame:
+    """A walk with restarts, until no score moves by the tolerance: share gives what a node sends along each of its edges; restarts go to all nodes or to start."""
     step = written(edges.select("src", "dst"))
     degrees = step.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
     rank = written(nodes(step).join(degrees, "node", "left"))
@@ -32,18 +34,20 @@ def _ranked(edges: DataFrame, rounds: int, damping: float, share, start: int | N
         loose = _one_row(rank.filter("n_out is null"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
         got = _received(step, rank, share(mean_out))
         new = (1 - damping) * home + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * home)
-        rank = written(rank.join(got, "node", "left").crossJoin(loose).select("node", "n_out", new.alias("score")))  # one row
+        rank = written(rank.join(got, "node", "left").crossJoin(loose).select("node", "n_out", F.col("score").alias("old_score"), new.alias("score")))  # one row
+        if settled(rank, tolerance, "score"):
+            break
     return rank.select("node", "score")
 
 
-def article_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def article_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 0.0001) -> DataFrame:
     """node, score: as PageRank, but a node's share for an edge is divided by its edges out and the mean of all nodes, so that short lists count less."""
-    return _ranked(edges, rounds, damping, lambda mean: F.col("score") / (F.col("n_out") + mean), None)
+    return _ranked(edges, rounds, damping, tolerance, lambda mean: F.col("score") / (F.col("n_out") + mean), None)
 
 
-def personalized_page_rank(edges: DataFrame, source: int, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def personalized_page_rank(edges: DataFrame, source: int, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """node, score: restarts, and what nodes without edges out hold, go to source."""
-    return _ranked(edges, rounds, damping, lambda mean: F.col("score") / F.col("n_out"), source)
+    return _ranked(edges, rounds, damping, tolerance, lambda mean: F.col("score") / F.col("n_out"), source)
 
 
 def katz(edges: DataFrame, alpha: float = 0.005, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -59,14 +63,17 @@ def katz(edges: DataFrame, alpha: float = 0.005, rounds: int = 100, tolerance: f
     return score
 
 
-def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, score by power iteration over edges in both directions, scaled to length 1 each round."""
+def eigenvector(edges: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+    """node, score by power iteration over edges in both directions, scaled to length 1 each round, until no score moves by the tolerance."""
     step = written(undirected(edges))
     score = written(nodes(step).withColumn("score", F.lit(1.0)))
     for _ in range(rounds):
         got = written(_received(step, score, F.col("score")))
-        score = written(got.crossJoin(_one_row(got, F.sqrt(F.sum(F.col("got") * F.col("got"))).alias("length"))).select("node", (F.col("got") / F.col("length")).alias("score")))  # one row
-    return score
+        new = got.crossJoin(_one_row(got, F.sqrt(F.sum(F.col("got") * F.col("got"))).alias("length")))  # one row
+        score = written(new.join(score.select("node", F.col("score").alias("old_score")), "node").select("node", "old_score", (F.col("got") / F.col("length")).alias("score")))
+        if settled(score, tolerance, "score"):
+            break
+    return score.select("node", "score")
 
 
 def _scaled(scores: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,8 +81,8 @@ def _scaled(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.crossJoin(lengths).select("node", *[F.when(F.col(f"{c}_length") > 0, F.col(c) / F.col(f"{c}_length")).otherwise(0.0).alias(c) for c in columns])  # one row
 
 
-def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, hub, authority: both from the round before, scaled to length 1."""
+def hits(edges: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+    """node, hub, authority: both from the round before, scaled to length 1, until no score moves by the tolerance."""
     step = written(edges.select("src", "dst"))
     back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     score = written(nodes(step).withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)))
@@ -83,16 +90,19 @@ def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
         into = _received(step, score, F.col("hub")).withColumnRenamed("got", "a")
         out = _received(back, score, F.col("authority")).withColumnRenamed("got", "h")
         new = score.select("node").join(into, "node", "left").join(out, "node", "left").select("node", F.coalesce("h", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority"))
-        score = written(_scaled(written(new), ["hub", "authority"]))
-    return score
+        old = score.select("node", F.col("hub").alias("old_hub"), F.col("authority").alias("old_authority"))
+        score = written(_scaled(written(new), ["hub", "authority"]).join(old, "node"))
+        if settled(score, tolerance, "hub", "authority"):
+            break
+    return score.select("node", "hub", "authority")
 
 
-def distances(edges: DataFrame, sources: DataFrame | None = None, most: int = 50) -> DataFrame:
-    """source, node, hops over edges in both directions. Without sources (node) from every node: its rows grow with the square of a component, so give a sample for large ones."""
+def distances(edges: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """source, node, hops (at most `most`) over edges in both directions. Without sources (node) from every node: its rows grow with the square of a component, so give a sample for large ones."""
     step = written(undirected(edges))
     first = (nodes(step) if sources is None else sources.select("node").distinct()).select(F.col("node").alias("source"), "node")
     seen = front = written(first.withColumn("hops", F.lit(0)))
-    for hops in range(1, most + 1):
+    for hops in count(1) if most is None else range(1, most + 1):
         new = front.select("source", F.col("node").alias("src")).join(step, "src").select("source", F.col("dst").alias("node")).distinct()
         front = written(new.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         if not front.limit(1).count():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +11,18 @@ from ..storage import written
 from .algorithms import connected_components, nodes, undirected
 
 
-def _spread(step: DataFrame, label: DataFrame, most: int) -> DataFrame:
+def _spread(step: DataFrame, label: DataFrame) -> DataFrame:
     """node, label: the least label of any node that leads here, its own included."""
-    for _ in range(most):
+    while True:
         got = step.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
         both = written(label.join(got, "node", "left").select("node", "label", F.least("label", "new").alias("next")))
         moved = both.filter("next < label").limit(1).count()
         label = both.select("node", F.col("next").alias("label"))
         if not moved:
-            break
-    return label
+            return label
 
 
-def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node).
 
     Each round the least node that leads to a node is its colour; what a colour's
@@ -30,12 +31,12 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
     step = written(edges.select("src", "dst").filter("src <> dst").distinct())
     left = written(nodes(edges))
     done: DataFrame | None = None
-    for _ in range(most):
-        colour = written(_spread(step, left.withColumn("label", F.col("node")), most))
+    while True:
+        colour = _spread(step, left.withColumn("label", F.col("node")))
         inside = step.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("other")), "dst").filter("label = other").select("src", "dst", "label")
         inside = written(inside)
         found = front = written(colour.filter("node = label"))
-        for _ in range(most):
+        while True:
             new = inside.join(front.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct().join(found, ["node", "label"], "left_anti")
             front = written(new)
             if not front.limit(1).count():
@@ -47,16 +48,15 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
         if not left.limit(1).count():
             break
         step = written(step.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    assert done is not None
     return done.select("node", F.col("label").alias("component"))
 
 
-def topological_levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """node, level: the length of the longest path to it; null for nodes of a cycle and those beyond one. Ordering by level and node is a topological order."""
     step = written(edges.select("src", "dst").distinct())
     left = written(nodes(step))
     done: DataFrame | None = None
-    for level in range(most):
+    for level in count():
         ready = written(left.join(step.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
         if not ready.limit(1).count():
             break
@@ -80,11 +80,13 @@ def longest_paths(edges: DataFrame) -> DataFrame:
 
 
 def bipartite(edges: DataFrame) -> DataFrame:
-    """node, side (0 or 1), null where the node's component isn't bipartite.
+    """node, side (0 or 1), null where the node's component isn't bipartite. Ids beyond 2**62 are refused.
 
     Every node stands twice, once for each side, and edges cross sides; a
     component is bipartite unless that joins a node's two stands.
     """
+    if not edges.filter((F.abs("src") >= 2**62) | (F.abs("dst") >= 2**62)).isEmpty():
+        raise ValueError("ids of 2**62 and more")
     both = undirected(edges)
     doubled = both.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))
     loops = edges.filter("src = dst").select((F.col("src") * 2).alias("src"), (F.col("src") * 2 + 1).alias("dst"))
@@ -95,15 +97,13 @@ def bipartite(edges: DataFrame) -> DataFrame:
     return zero.join(one, "node").select("node", side.alias("side"))
 
 
-def spanning_forest(edges: DataFrame, most: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """src, dst, weight of a minimum spanning forest of edges (src, dst, weight), by Boruvka's rounds; ties go to the lesser ends."""
     e = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
     e = written(e.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     live = written(e.select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")))
     taken: DataFrame | None = None
-    for _ in range(most):
-        if not live.limit(1).count():
-            break
+    while live.limit(1).count():
         ends = live.select(F.explode(F.array("a", "b")).alias("c"), F.struct("weight", "src", "dst", "a", "b").alias("edge"))
         best = written(ends.groupBy("c").agg(F.min("edge").alias("edge")).select("edge.*").distinct())
         new = best.select("src", "dst", "weight")
@@ -114,32 +114,37 @@ def spanning_forest(edges: DataFrame, most: int = 60) -> DataFrame:
     return e.limit(0) if taken is None else taken
 
 
-def k_truss(edges: DataFrame, k: int = 3, most: int = 1000) -> DataFrame:
+def k_truss(edges: DataFrame, k: int = 3) -> DataFrame:
     """src, dst (src < dst) of the edges left when each is in k - 2 triangles or more of what is left."""
     now = written(undirected(edges).filter("src < dst"))
-    for _ in range(most):
-        both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        deg = both.groupBy("src").agg(F.count("*").alias("n"))
-        # from the end of fewer neighbours, so that a hub's neighbours are never paired
-        ranked = written(both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst").filter("struct(n, src) < struct(m, dst)").select("src", "dst"))
-        found = ranked.toDF("x", "y").join(ranked.toDF("x", "z"), "x").filter("y <> z").join(ranked.toDF("y", "z"), ["y", "z"])
-        sides = found.select(F.explode(F.array(*[F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))])).alias("e")).select("e.*")
-        after = written(sides.groupBy("src", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= k - 2).select("src", "dst")) if k > 2 else now
-        if after.count() == now.count():
-            return after
-        now = after
-    return now
-
-
-def colouring(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """node, colour, no two neighbours alike: each round the nodes that come before all their uncoloured neighbours, by a hash, take the least free colour."""
+    if k <= 2:
+        return now
+    both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    deg = both.groupBy("src").agg(F.count("*").alias("n"))
+    # from the end of fewer neighbours, so that a hub's neighbours are never paired; the triangles are listed once, then peeled
+    ranked = written(both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst").filter("struct(n, src) < struct(m, dst)").select("src", "dst"))
+    found = ranked.toDF("x", "y").join(ranked.toDF("x", "z"), "x").filter("y <> z").join(ranked.toDF("y", "z"), ["y", "z"])
+    side = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    left = written(found.select(side("x", "y").alias("a"), side("x", "z").alias("b"), side("y", "z").alias("c")))
+    while True:
+        weak = now.join(left.select(F.explode(F.array("a", "b", "c")).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("n")), ["src", "dst"], "left").filter(F.coalesce("n", F.lit(0)) < k - 2)
+        weak = written(weak.select("src", "dst"))
+        if weak.isEmpty():
+            return now
+        now = written(now.join(weak, ["src", "dst"], "left_anti"))
+        gone = weak.select(F.struct("src", "dst").alias("gone"))
+        for c in ("a", "b", "c"):
+            left = left.join(gone, F.col(c) == F.col("gone"), "left_anti")
+        left = written(left)
+
+
+def colouring(edges: DataFrame) -> DataFrame:
+    """node, colour, no two neighbours alike, until every node has one: each round the nodes that come before all their uncoloured neighbours, by a hash, take the least free colour."""
     both = written(undirected(edges))
     left = written(both.select(F.col("src").alias("node")).distinct())
     done = left.limit(0).withColumn("colour", F.lit(0))
     order = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    for _ in range(most):
-        if not left.limit(1).count():
-            break
+    while left.limit(1).count():
         open_ = both.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
         blocked = open_.filter(order("dst") < order("src")).select(F.col("src").alias("node")).distinct()
         ready = left.join(blocked, "node", "left_anti")
@@ -162,21 +167,21 @@ def random_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int = 0)
     return walk
 
 
-def bellman_ford(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
+def bellman_ford(edges: DataFrame, source: int) -> DataFrame:
     """node, cost from source over edges (src, dst, weight), which may be negative; ValueError where a negative cycle keeps costs falling."""
     step = written(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     n = nodes(step).count()
     best = front = written(edges.sparkSession.createDataFrame([(source, 0.0)], "node long, cost double"))
-    for _ in range(min(n, most)):
+    for _ in range(n):
         new = front.join(step.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
         both = written(best.join(new, "node", "full").select("node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("moved")))
         best, front = both.select("node", "cost"), both.filter("moved").select("node", "cost")
         if not front.limit(1).count():
             return best
-    raise ValueError("a negative cycle, or longer paths than allowed")
+    raise ValueError("a negative cycle")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """node, score: over all sources (node) and targets, the share of shortest paths along edges that pass the node, its own ends left out.
 
     A row stands for each source and node that it reaches, so give a sample of
@@ -188,7 +193,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int =
     start = every if sources is None else sources
     front = written(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
     levels, seen = [front], front
-    for depth in range(1, most + 1):
+    for depth in count(1):
         new = front.join(step.withColumnRenamed("src", "node"), "node").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths")).join(seen, ["source", "node"], "left_anti")
         front = written(new.select("source", "node", F.lit(depth).alias("depth"), "paths"))
         if front.isEmpty():
@@ -209,7 +214,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int =
     return every.join(total.groupBy("node").agg(F.sum("delta").alias("score")), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def bridges(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def bridges(edges: DataFrame) -> DataFrame:
     """src, dst (src < dst) of the edges whose loss parts their component; parallel edges are no bridges.
 
     Edges outside a breadth-first tree carry a random 64-bit mark at both ends; a
@@ -221,7 +226,7 @@ def bridges(edges: DataFrame, most: int = 10_000) -> DataFrame:
     both = written(undirected(once))
     front = written(connected_components(once).select("component").distinct().select(F.col("component").alias("node"), F.lit(None).cast("long").alias("parent")))
     levels, seen = [front], front
-    for _ in range(most):
+    while True:
         new = both.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")).join(seen, "node", "left_anti")
         front = written(new)
         if front.isEmpty():

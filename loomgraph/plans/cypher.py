@@ -17,21 +17,23 @@ from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import library
 from ..functions import lists as L
 from ..functions import scalars as S
 from ..operators.pattern import Graph
 from ..storage import written
+from .procedures import PROCEDURES, Projection
 
 _TOKEN = re.compile(
     r"(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?)|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")"
-    r"|(?P<name>[^\W\d]\w*|`[^`]+`)|(?P<param>\$\w+)|(?P<op><>|<=|>=|=~|\.\.|[-+*/%^=<>(){}\[\],.:;|])",
+    r"|(?P<name>[^\W\d]\w*|`[^`]+`)|(?P<param>\$\w+)|(?P<op><=>|<>|<=|>=|!=|==|=~|\.\.|[-+*/%^=<>(){}\[\],.:;|])",
     re.S,
 )
-_CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "WITH", "RETURN", "UNWIND", "ORDER", "SKIP", "OFFSET", "LIMIT", "UNION", "FINISH"}
+_CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "WITH", "RETURN", "UNWIND", "ORDER", "SKIP", "OFFSET", "LIMIT", "UNION", "FINISH", "CALL", "YIELD", "LOAD"}
 
 
 class CypherError(ValueError):
@@ -88,9 +90,9 @@ _FUNCTIONS: dict[str, Callable[..., Column]] = {
     "floor": lambda x: F.floor(_number(x)).cast("double"), "sqrt": F.sqrt, "exp": F.exp, "log": F.log, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan, "cot": F.cot, "asin": F.asin, "acos": F.acos, "atan": F.atan,
     "atan2": F.atan2, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "degrees": F.degrees, "radians": F.radians, "pi": F.pi, "e": F.e, "sign": lambda x: F.signum(x).cast("long"), "isnan": F.isnan,
     "toupper": F.upper, "upper": F.upper, "tolower": F.lower, "lower": F.lower, "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "left": lambda s, n: F.when(n <= 0, F.lit("")).otherwise(F.left(s, n)), "right": lambda s, n: F.when(n <= 0, F.lit("")).otherwise(F.right(s, n)),
-    "replace": F.replace, "reverse": F.reverse, "tostring": lambda x: x.cast("string"), "tointeger": lambda x: x.try_cast("double").cast("long"), "tofloat": lambda x: x.try_cast("double"), "toboolean": lambda x: x.try_cast("boolean"),
+    "replace": F.replace, "reverse": F.reverse, "tostring": lambda x: x.cast("string"), "tointeger": library.integer, "tofloat": lambda x: x.try_cast("double"), "toboolean": lambda x: x.try_cast("boolean"),
     "char_length": F.char_length, "range": lambda a, b, by=None: F.when((b - a) * (1 if by is None else F.signum(by)) < 0, F.array().cast("array<bigint>")).otherwise(F.sequence(a.cast("long"), b.cast("long"), F.lit(1).cast("long") if by is None else by.cast("long"))),
-    "isempty": lambda v: F.length(v.cast("string")) == 0, "rand": F.rand, "randomuuid": F.uuid, "date": lambda s: s.cast("date"), "datetime": lambda s: s.cast("timestamp"), "haversin": lambda x: (1 - F.cos(x)) / 2,
+    "rand": F.rand, "randomuuid": F.uuid, "date": lambda s: s.cast("date"), "datetime": lambda s: s.cast("timestamp"), "haversin": lambda x: (1 - F.cos(x)) / 2,
     "coll.distinct": F.array_distinct, "coll.sort": F.sort_array, "coll.max": F.array_max, "coll.min": F.array_min, "coll.union": F.array_union, "coll.sum": L.total, "coll.avg": L.mean,
 }
 _AGGREGATES: dict[str, Callable[..., Column]] = {
@@ -117,7 +119,8 @@ class _Query:
         self.aggregated = False
         self.met: list[T.DataType] | None = None  # types met while an expression over elements is read first
         self.told: Any = None  # the same types when it is read again
-        self.spark = next(iter(graph.vertices.values()))[0].sparkSession
+        held = [*graph.vertices.values(), *graph.edges.values()]
+        self.spark = held[0][0].sparkSession if held else SparkSession.active()
         self.clear()
 
     def clear(self) -> None:
@@ -207,6 +210,12 @@ class _Query:
                 v = v if isinstance(self.type_of(v), T.ArrayType) else F.array(v)
                 self.rows = self.current().drop(name).withColumn(name, F.explode(v))
                 self.scope[name] = _c(name)
+            elif self.take("CALL"):
+                self.call_clause()
+                if self.i >= len(self.toks) or self.peek("UNION", ";", "}"):
+                    return self.current().select(*[self.value(n).alias(n) for n in self.scope if not n.startswith("~")])
+            elif self.take("LOAD"):
+                self.load_csv()
             elif self.take("WITH"):
                 self.project()
                 if self.take("WHERE"):
@@ -220,6 +229,115 @@ class _Query:
             else:
                 raise CypherError(f"a clause expected, not {self.next()!r}")
 
+    def constant_value(self) -> Any:
+        """A literal, a parameter, a list or a map of these; of a variable of a node its (label, id), which must be one."""
+        if self.take("["):
+            out = []
+            while not self.take("]"):
+                out.append(self.constant_value())
+                self.take(",")
+            return out
+        if self.take("{"):
+            held = {}
+            while not self.take("}"):
+                key = self.name()
+                self.need(":")
+                held[key] = self.constant_value()
+                self.take(",")
+            return held
+        if self.take("-"):
+            return -self.constant_value()
+        kind = self.kind()
+        if kind == "param":
+            return self.params[self.next()[1:]]
+        if kind == "num":
+            t = self.next()
+            return int(t) if t.isdigit() else float(t)
+        if kind == "str":
+            return self.next()[1:-1]
+        for word, v in (("TRUE", True), ("FALSE", False), ("NULL", None)):
+            if self.take(word):
+                return v
+        name = self.name()
+        if not isinstance(self.scope.get(name), Var):
+            raise CypherError(f"{name} is no node")
+        found = self.current().select(_c(f"{name}:label"), _c(name)).distinct().limit(2).collect()
+        if len(found) != 1:
+            raise CypherError(f"a procedure takes one node, and {name} is {'none' if not found else 'several'}")
+        return tuple(found[0])
+
+    def call_clause(self) -> None:
+        """CALL procedure(arguments) [YIELD column [AS name], ... [WHERE condition]], or CALL { query } of its own scope: its rows with each row so far."""
+        if self.take("{"):
+            outer_rows, outer = self.rows, self.scope
+            self.clear()
+            made = self.single()
+            while self.take("UNION"):
+                every = self.take("ALL")
+                self.clear()
+                made = made.unionByName(self.single())
+                made = made if every else made.distinct()
+            self.need("}")
+            self.rows = made if outer_rows is None else outer_rows.crossJoin(made)
+            self.scope = outer | {c: _c(c) for c in made.columns}
+            return
+        name = self.name()
+        while self.take("."):
+            name += f".{self.name()}"
+        if name.lower() not in PROCEDURES:
+            raise CypherError(f"there is no procedure {name}")
+        args: list[Any] = []
+        if self.take("("):
+            while not self.take(")"):
+                args.append(self.constant_value())
+                self.take(",")
+        make, nodes = PROCEDURES[name.lower()]
+        p = Projection(self.graph, self.spark, args)
+        made = make(p)
+        wanted = {c: c for c in made.columns}
+        if self.take("YIELD") and not self.take("*"):
+            wanted = {}
+            while True:
+                was = self.name()
+                if was not in made.columns:
+                    raise CypherError(f"{name} yields no {was}")
+                wanted[was] = self.name() if self.take("AS") else was
+                if not self.take(","):
+                    break
+        made = made.select(*[x for was, now in wanted.items() for x in ([p.id_of(_c(was)).alias(now), p.label_of(_c(was)).alias(f"{now}:label")] if was in nodes else [_c(was).alias(now)])])
+        for was, now in wanted.items():
+            self.scope[now] = Var("node", tuple(p.labels)) if was in nodes else _c(now)
+            if was in nodes and self.read_properties(now):
+                made = self.with_properties(made, now, p.labels)
+        self.rows = made if self.rows is None else self.rows.crossJoin(made)  # what a procedure yields goes with each row
+        if self.take("WHERE"):
+            where = self.expression()
+            self.rows = self.current().filter(where)
+
+    def with_properties(self, rows: DataFrame, name: str, labels: list[str]) -> DataFrame:
+        out: DataFrame | None = None
+        for label in labels:
+            one = rows.filter(_c(f"{name}:label") == label).join(self.scan(name, label).drop(f"{name}:label"), name, "left")
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        assert out is not None
+        return out
+
+    def load_csv(self) -> None:
+        """LOAD CSV [WITH HEADERS] FROM 'path' AS row [FIELDTERMINATOR 'c']: a row is a map by header, else a list; with each row so far."""
+        self.need("CSV")
+        headed = self.take("WITH") and (self.need("HEADERS") or True)
+        self.need("FROM")
+        path = str(self.constant_value())
+        self.need("AS")
+        name = self.name()
+        by = str(self.constant_value()) if self.take("FIELDTERMINATOR") else ","
+        made = self.spark.read.csv(path, header=bool(headed), sep=by, multiLine=True, escape='"')
+        cells = [_c(c) for c in made.columns]
+        row = F.create_map(*[x for c, v in zip(made.columns, cells, strict=True) for x in (F.lit(c), v)]) if headed else F.array(*cells)
+        made = made.select(row.alias(name), F.input_file_name().alias("~csv:file"))
+        self.rows = made if self.rows is None else self.rows.crossJoin(made)
+        self.scope[name] = _c(name)
+
     def match(self, optional: bool) -> None:
         paths = self.patterns()
         if not optional:
@@ -626,6 +744,9 @@ class _Query:
                 out, a = one if out is None else out & one, b
             elif self.take("IS"):
                 no = self.take("NOT")
+                if self.take("TYPED") or (self.take(":") and (self.need(":") or True)):
+                    a = out = self.typed(a, no)
+                    continue
                 self.need("NULL")
                 a = out = a.isNotNull() if no else a.isNull()
             elif self.take("IN"):
@@ -641,6 +762,26 @@ class _Query:
             else:
                 return a if out is None else out
 
+    def typed(self, v: Column, no: bool) -> Column:
+        """IS [NOT] :: TYPE [NOT NULL]: null is of every type that isn't NOT NULL."""
+        own, held = library.type_name(self.type_of(v)), False
+        while True:
+            name = self.name().upper()
+            if name in ("ZONED", "LOCAL"):
+                name += f" {self.name().upper()}"
+            if name == "LIST":
+                self.need("<")
+                inner = self.name().upper()
+                self.need(">")
+                name = f"LIST<{inner}>"
+            full = self.take("NOT") and (self.need("NULL") or True)
+            null = F.lit(False) if full else v.isNull()
+            alike = own.replace(" NOT NULL", "") == name or name in ("ANY", "INT" if own == "INTEGER" else "", "BOOL" if own == "BOOLEAN" else "")
+            one = F.when(v.isNull(), null).otherwise(F.lit(alike))
+            held = one if held is False else held | one
+            if not self.take("|"):
+                return ~held if no else held
+
     def sum(self) -> Column:
         a = self.term()
         while True:
@@ -748,6 +889,8 @@ class _Query:
         if name not in self.scope:
             raise CypherError(f"{name} isn't defined")
         v = self.scope[name]
+        if self.peek("{") and self.peek(".", ahead=1) or (self.peek("{") and self.peek("*", ahead=2)):
+            return self.projected(name)
         if isinstance(v, Var) and v.kind in ("node", "rel"):
             if self.take("."):
                 key = f"{name}.{self.name()}"
@@ -757,6 +900,29 @@ class _Query:
             return _c(name) if self.peek("=", "<>", "IS", ")", ",", "]") or self.toks[self.i - 2][1] in ("=", "<>") else self.value(name)
         return self.value(name)
 
+    def projected(self, name: str) -> Column:
+        """variable {.property, .*, key: value, other}: a map of some of it."""
+        v = self.scope[name]
+        node = isinstance(v, Var)
+        held = {c[len(name) + 1 :]: _c(c) for c in self.columns_of(name) if c.startswith(f"{name}.")} if node else {}
+        if not node and isinstance(self.type_of(v), T.StructType):
+            held = {f.name: v.getField(f.name) for f in self.type_of(v).fields}
+        out: dict[str, Column] = {}
+        self.need("{")
+        while not self.take("}"):
+            if self.take("."):
+                if self.take("*"):
+                    out |= held
+                else:
+                    key = self.name()
+                    out[key] = held.get(key, F.lit(None) if node else v.getField(key) if not isinstance(self.type_of(v), T.StructType) else F.lit(None))
+            else:
+                key = self.name()
+                out[key] = self.expression() if self.take(":") else self.value(key)
+            self.take(",")
+        made = F.struct(*[x.alias(k) for k, x in out.items()])
+        return F.when(_c(name).isNotNull(), made) if node else made
+
     def pattern_or_group(self) -> Column:
         depth, k = 0, self.i
         while k < len(self.toks):
@@ -776,8 +942,13 @@ class _Query:
     def related(self, paths: list[Path], where: Callable[[], Column] | None, collected: Callable[[], Column] | None = None) -> Column:
         """How many matches each row has, or the list of what is collected of them: one grouping of the pattern by the variables shared with the row, joined back."""
         outer_rows, outer = self.current(), self.scope
+        for n in (n for p in paths for n in p.nodes):
+            held = outer.get(n.name)
+            if isinstance(held, Var) and held.labels:  # a variable of the row has the labels that it has there
+                n.labels = tuple(x for x in held.labels if not n.labels or x in n.labels)
         rows, inner = self.bind(None, {}, paths)
         shared = [v for v in inner if v in outer]
+        shared += [f"{v}:label" for v in shared if isinstance(outer[v], Var) and f"{v}:label" in outer_rows.columns and f"{v}:label" in rows.columns]
         if not shared:
             raise CypherError("a pattern in an expression must share a variable with the row")
         self.rows, self.scope = rows, inner
@@ -869,6 +1040,15 @@ class _Query:
 
     def call(self, name: str) -> Column:
         self.need("(")
+        space, _, bare = name.partition(".")
+        if space in ("node", "rel") and bare in ("id", "labels", "type", "startnode", "endnode", "properties", "keys"):
+            name = bare
+        elif space == "node":
+            return self.around(bare)
+        elif space == "path" and self.kind() == "name" and isinstance(self.scope.get(self.toks[self.i][1]), Var):
+            return self.of_path(bare)
+        if name == "file" and self.take(")"):
+            return _c("~csv:file")
         if name in ("all", "any", "none", "single") and self.peek("IN", ahead=1):
             x = self.name()
             self.need("IN")
@@ -886,8 +1066,16 @@ class _Query:
             self.need("IN")
             v = self.expression()
             self.need("|")
-            kind = "double" if isinstance(self.type_of(first), T.NumericType) else "string"
+            kind, start = self.type_of(first), self.i
+            if isinstance(kind, T.IntegralType):
+                kind = T.LongType()
+            elif isinstance(kind, T.NullType):
+                kind = T.StringType()
             step = self.over({total: F.lit(None).cast(kind), x: self.element(v)})
+            grown = self.type_of(step(F.lit(None).cast(kind), self.element(v)))
+            if isinstance(kind, T.LongType) and isinstance(grown, T.FractionalType):  # a fraction is added to a whole number
+                kind, self.i = T.DoubleType(), start
+                step = self.over({total: F.lit(None).cast(kind), x: self.element(v)})
             out = F.aggregate(v, first.cast(kind), lambda acc, item: step(acc, item).cast(kind))
             self.need(")")
             return out
@@ -914,19 +1102,62 @@ class _Query:
             return made[name]()
         args = self.arguments()
         if name in ("size", "length"):
-            return (F.size(args[0]) if isinstance(self.type_of(args[0]), T.ArrayType) else F.char_length(args[0])).cast("long")
+            return (F.size(args[0]) if isinstance(self.type_of(args[0]), T.ArrayType | T.MapType) else F.char_length(args[0])).cast("long")
         if name == "substring":
             return F.substr(args[0], args[1] + 1, *args[2:])
         if name == "split":
             return F.split(args[0], F.concat(F.lit("\\Q"), args[1], F.lit("\\E")))
-        if name == "round":
-            return S.round_half_up(args[0]) if len(args) == 1 else F.round(args[0], args[1])
+        if name == "isempty":
+            return F.size(args[0]) == 0 if isinstance(self.type_of(args[0]), T.ArrayType | T.MapType) else F.length(args[0].cast("string")) == 0
+        if name in library.CYPHER:
+            return library.CYPHER[name](self, *args)
         if name == "exists":
             return args[0].isNotNull()
         if name not in _FUNCTIONS:
             raise CypherError(f"there is no function {name}")
         return _FUNCTIONS[name](*args)
 
+    def around(self, what: str) -> Column:
+        """node.degree, .degree.in, .degree.out (node [, types [, direction]]), node.relationship.exists and .types: counts of a pattern round the node."""
+        name = self.name()
+        given: list[Any] = []
+        while not self.take(")"):
+            if self.take(","):
+                given.append(self.constant_value())
+        types = next(([x] if isinstance(x, str) else x for x in given if isinstance(x, list) or (isinstance(x, str) and x.upper() not in ("IN", "OUT", "BOTH"))), [])
+        way = {"degree.in": "in", "degree.out": "out"}.get(what) or next((x.lower() for x in given if isinstance(x, str) and x.upper() in ("IN", "OUT", "BOTH")), "both")
+        rel = Rel(self.anonymous(), tuple(types or ()), {}, way)
+        path = Path(None, [Node(name, (), {}), Node(self.anonymous(), (), {})], [rel])
+        none = not any(x in self.graph.ends[t] for t in types or self.graph.edges for x in self.scope[name].labels)
+        if what == "relationship.types":
+            return F.array().cast("array<string>") if none else F.sort_array(F.array_distinct(self.related([path], None, lambda: _c(f"{rel.name}:label"))))
+        side = {"out": (0,), "in": (1,)}.get(way, (0, 1))
+        none = not any(self.graph.ends[t][k] in self.scope[name].labels for t in types or self.graph.edges for k in side)
+        n = F.lit(0) if none else self.related([path], None)
+        if what == "relationship.exists":
+            return n > 0
+        if not what.startswith("degree"):
+            raise CypherError(f"there is no function node.{what}")
+        return n
+
+    def of_path(self, what: str) -> Column:
+        """path.elements, path.slice and path.combine of variables of paths: nodes are their ids."""
+        name = self.name()
+        nodes, rels = _c(name), _c(f"{name}:rels")
+        if what == "combine":
+            self.need(",")
+            other = self.name()
+            self.need(")")
+            return F.concat(nodes, L.tail(_c(other)))
+        self.take(",")
+        args = self.arguments()
+        if what == "elements":
+            return F.flatten(F.transform(nodes.cast("array<string>"), lambda x, i: F.when(i < F.size(rels), F.array(x, F.get(rels, i))).otherwise(F.array(x))))
+        if what == "slice":
+            to = F.size(rels) if len(args) < 2 else F.least(args[1], F.size(rels))
+            return F.slice(nodes, (args[0] + 1).cast("int"), F.greatest(to - args[0] + 1, F.lit(0)).cast("int"))
+        raise CypherError(f"there is no function path.{what}")
+
     def arguments(self) -> list[Column]:
         out = []
         while not self.take(")"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.pattern import Graph
 from ..sources.tables import table
 from .cypher import cypher
-from .queries import _TB, graph, query, trade
+from .queries import _TRI, graph, query, trade
 
 
 def _text(name: str, text: str, sql: str, **params) -> None:
@@ -58,7 +58,7 @@ _text(
 _text(
     "lists",
     "MATCH (p:Part) WITH p, [x IN range(1, p.p_size % 5 + 1) WHERE x % 2 = 1 | x * 10] AS v RETURN p.p_partkey AS p, size(v) AS n, reduce(t = 0, x IN v | t + x) AS total, v[-1] AS last, any(x IN v WHERE x > 20) AS big, head(v) AS head, size(v[1..]) AS rest, CASE p.p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, p.p_size / 7 AS whole, toUpper(left(p.p_name, 3)) + '-' + p.p_size AS code",
-    """SELECT p_partkey AS p, len(v) AS n, list_sum(v)::DOUBLE AS total, v[-1] AS last, list_max(v) > 20 AS big, v[1] AS head, len(v) - 1 AS rest, CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, p_size // 7 AS whole, upper(left(p_name, 3)) || '-' || p_size AS code
+    """SELECT p_partkey AS p, len(v) AS n, list_sum(v)::BIGINT AS total, v[-1] AS last, list_max(v) > 20 AS big, v[1] AS head, len(v) - 1 AS rest, CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, p_size // 7 AS whole, upper(left(p_name, 3)) || '-' || p_size AS code
 FROM (SELECT *, list_transform(list_filter(range(1, p_size % 5 + 2), lambda x: x % 2 = 1), lambda x: x * 10) AS v FROM part)""",
 )
 _text(
@@ -85,18 +85,17 @@ _text(
 
 def _trade(spark, d) -> Graph:
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), "n_name", "n_regionkey")
-    few = trade(spark, d).filter("(src + dst) % 4 = 0")
-    return Graph({"Nation": (n, "key")}, {"SELLS_TO": (few, "src", "dst")}, {"SELLS_TO": ("Nation", "Nation")})
+    return Graph({"Nation": (n, "key")}, {"SELLS_TO": (trade(spark, d), "src", "dst")}, {"SELLS_TO": ("Nation", "Nation")})
 
 
-_FEW = f"WITH RECURSIVE {_TB.replace('b AS', 'unused AS', 1)}, f AS (SELECT src, dst FROM e WHERE (src + dst) % 4 = 0)"
+_SELLS = f"WITH RECURSIVE f AS MATERIALIZED ({_TRI})"
 
 
-@query(f"{_FEW}, p AS (SELECT src AS a, dst AS z, [struct_pack(s := src, d := dst)] AS rels FROM f WHERE src = 3 UNION ALL SELECT a, dst, list_append(rels, struct_pack(s := src, d := dst)) FROM p JOIN f ON src = z WHERE len(rels) < 3 AND NOT list_contains(rels, struct_pack(s := src, d := dst))) SELECT z, len(rels) AS hops, count(*) AS n FROM p WHERE len(rels) >= 2 GROUP BY 1, 2")
+@query(f"{_SELLS}, p AS (SELECT src AS a, dst AS z, [struct_pack(s := src, d := dst)] AS rels FROM f WHERE src = 3 UNION ALL SELECT a, dst, list_append(rels, struct_pack(s := src, d := dst)) FROM p JOIN f ON src = z WHERE len(rels) < 3 AND NOT list_contains(rels, struct_pack(s := src, d := dst))) SELECT z, len(rels) AS hops, count(*) AS n FROM p WHERE len(rels) >= 2 GROUP BY 1, 2")
 def cypher_variable_length(spark, d):
     return cypher(_trade(spark, d), "MATCH q = (a:Nation)-[:SELLS_TO*2..3]->(b) WHERE a.key = 3 RETURN id(b) AS z, length(q) AS hops, count(*) AS n")
 
 
-@query(f"{_FEW}, p AS (SELECT src AS a, src AS z, 0 AS hops FROM f WHERE src = 3 UNION SELECT a, dst, hops + 1 FROM p JOIN f ON src = z WHERE hops < 8), s AS (SELECT z, min(hops) AS hops FROM p GROUP BY 1) SELECT n_name AS name, hops, hops + 1 AS places FROM s JOIN nation ON n_nationkey = z WHERE hops > 0")
+@query(f"{_SELLS}, p AS (SELECT src AS a, src AS z, 0 AS hops FROM f WHERE src = 3 UNION SELECT a, dst, hops + 1 FROM p JOIN f ON src = z WHERE hops < 8), s AS (SELECT z, min(hops) AS hops FROM p GROUP BY 1) SELECT n_name AS name, hops, hops + 1 AS places FROM s JOIN nation ON n_nationkey = z WHERE hops > 0")
 def cypher_shortest_path(spark, d):
     return cypher(_trade(spark, d), "MATCH (a:Nation {key: 3}), (b:Nation) WHERE a <> b MATCH p = shortestPath((a)-[:SELLS_TO*]->(b)) RETURN b.n_name AS name, length(p) AS hops, size(nodes(p)) AS places")

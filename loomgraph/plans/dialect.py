@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import aggregates as A
+from ..functions import library
 from ..functions import lists as L
 from ..functions import predicates as P
 from ..functions import scalars as S
@@ -61,7 +62,7 @@ _METHODS: dict[str, Callable[..., Column]] = {
 _SCALARS: dict[str, Callable[..., Column]] = {
     "ifnull": F.coalesce, "coalesce": F.coalesce, "abs": F.abs, "sqrt": F.sqrt, "squareroot": F.sqrt, "if": lambda c, a, b=None: F.when(c, a) if b is None else F.when(c, a).otherwise(b), "sysdate": F.current_timestamp, "date": lambda *a: F.to_timestamp(*a), "uuid": F.uuid,
     "concat": lambda *a: F.concat(*[x.cast("string") for x in a]), "intersect": F.array_intersect, "difference": F.array_except, "unionall": F.concat, "symmetricdifference": L.symmetric_difference, "distance": lambda *a: S.distance_m(*a) / 1000, "randomint": lambda n: F.floor(F.rand() * n),
-    "bytecount": X.byte_count, "upper": F.upper, "lower": F.lower, "round": S.round_half_up,
+    "bytecount": X.byte_count, "upper": F.upper, "lower": F.lower, "round": lambda x, n=None, how=None: library.rounded(None, x, n, how),
 }
 _GROUPED: dict[str, Callable[..., Column]] = {
     "count": F.count, "sum": A.total, "avg": F.avg, "min": F.min, "max": F.max, "first": F.first, "last": F.last, "list": F.collect_list, "set": F.collect_set, "mode": A.modes, "variance": A.variance, "stddev": A.stddev, "median": lambda x: A.percentile(x, 0.5),
@@ -404,8 +405,14 @@ class _Sql(_Query):
     # expressions
 
     def comparison(self) -> Column:
+        if self.kind() == "name" and self.peek("IS", ahead=1) and (self.peek("DEFINED", ahead=2) or (self.peek("NOT", ahead=2) and self.peek("DEFINED", ahead=3))):
+            known = self.name() in self.scope
+            self.need("IS")
+            no = self.take("NOT")
+            self.need("DEFINED")
+            return F.lit(known != no)
         a = self.sum()
-        ops = {"=": P.eq, "<>": P.ne, "<=": P.le, ">=": P.ge, "<": P.lt, ">": P.gt}
+        ops = {"=": P.eq, "<>": P.ne, "!=": P.ne, "==": P.eq, "<=>": lambda x, y: x.eqNullSafe(y), "<=": P.le, ">=": P.ge, "<": P.lt, ">": P.gt}
         for op, f in ops.items():
             if self.peek(op):
                 self.i += 1
@@ -414,7 +421,7 @@ class _Sql(_Query):
         out: Column | None = None
         if self.take("IS"):
             isnt = self.take("NOT")
-            if self.take("DEFINED"):
+            if self.take("DEFINED"):  # of an expression that could be read
                 return F.lit(not isnt)
             self.need("NULL")
             return a.isNotNull() if isnt else a.isNull()
@@ -426,6 +433,14 @@ class _Sql(_Query):
             out = P.matches(a, self.text_of())
         elif self.take("CONTAINSTEXT"):
             out = P.contains_text(a, self.sum())
+        elif self.take("CONTAINSKEY"):
+            out = P.holds(F.map_contains_key(library.as_map(self, a), self.sum()))
+        elif self.take("CONTAINSVALUE"):
+            out = P.holds(F.array_contains(F.map_values(library.as_map(self, a)), self.sum()))
+        elif self.take("INSTANCEOF"):
+            kind = self.text_of() if self.kind() == "str" else self.name()
+            held = self.scope.get("~a")
+            out = _c("~a:label") == kind if isinstance(held, Var) else F.lit(False)
         elif self.take("CONTAINSALL"):
             out = P.contains_all(a, self.sum())
         elif self.take("CONTAINSANY"):
@@ -499,7 +514,7 @@ class _Sql(_Query):
             return self.related([path], None, lambda: _c(f"{last}.{key}"))
         if self.kind() == "name" and not self.peek("(", ahead=1):
             bare = self.toks[self.i][1].strip("`")
-            if self.peek(".", ahead=1) and self.peek("(", ahead=3) and (full := f"{bare}.{self.toks[self.i + 2][1]}".lower()) in {*_GROUPED, "ts.timebucket"}:
+            if self.peek(".", ahead=1) and self.peek("(", ahead=3) and (full := f"{bare}.{self.toks[self.i + 2][1]}".lower()) in {*_GROUPED, *library.SQL, "ts.timebucket"}:
                 self.i += 3
                 return self.call(full)
             if bare in self.scope and isinstance(self.scope[bare], Column):
@@ -539,4 +554,6 @@ class _Sql(_Query):
             return (F.least if name == "min" else F.greatest)(*args)
         if name in _SCALARS:
             return _SCALARS[name](*args)
+        if name in library.SQL:
+            return library.SQL[name](self, *args)
         raise SqlError(f"there is no function {name}")

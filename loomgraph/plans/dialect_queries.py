@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pattern import Graph
 from ..sources.tables import table
-from .cypher_queries import _FEW, _trade
+from .cypher_queries import _SELLS, _trade
 from .dialect import sql
 from .queries import graph, query
 
@@ -32,7 +32,7 @@ _text("top", "SELECT c_name, c_acctbal FROM Customer ORDER BY c_acctbal DESC, c_
 _text("match", "MATCH {type: Customer, as: c, where: (c_acctbal > 9000)}.out('PLACED'){as: o, where: (o_orderstatus = 'F')}-CONTAINS->{as: p} RETURN c.c_name AS name, count(*) AS n, max(p.p_size) AS size GROUP BY c.c_name ORDER BY n", "SELECT c_name AS name, count(*) AS n, max(p_size) AS size FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_acctbal > 9000 AND o_orderstatus = 'F' GROUP BY 1")
 
 
-@query(f"{_FEW}, p AS (SELECT 3::BIGINT AS z, 0 AS n UNION SELECT dst, n + 1 FROM p JOIN f ON src = z WHERE n < 3), s AS (SELECT z, min(n) AS n FROM p GROUP BY 1) SELECT z AS key, n_name, n_regionkey, n AS \"$depth\" FROM s JOIN nation ON n_nationkey = z")
+@query(f"{_SELLS}, p AS (SELECT 3::BIGINT AS z, 0 AS n UNION SELECT dst, n + 1 FROM p JOIN f ON src = z WHERE n < 3), s AS (SELECT z, min(n) AS n FROM p GROUP BY 1) SELECT z AS key, n_name, n_regionkey, n AS \"$depth\" FROM s JOIN nation ON n_nationkey = z")
 def sql_traverse(spark, d):
     return sql(_trade(spark, d), "TRAVERSE out('SELLS_TO') FROM Nation WHERE key = 3 MAXDEPTH 3")
 

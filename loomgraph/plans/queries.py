@@ -15,6 +15,7 @@ from ..operators import algorithms as G
 from ..operators import search
 from ..operators.pattern import Graph, Match, paths, traverse
 from ..sources.tables import table
+from ..storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,101 +82,134 @@ def traverse_breadth_first(spark, d):
     return traverse(down, spark.createDataFrame([(5002,)], "id long"), 3).select(F.col("id").cast("long"), "depth")
 
 
-_SPARSE = "SELECT DISTINCT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49 AND l_returnflag = 'R'"
+_BOUGHT = "SELECT DISTINCT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 
 
-def sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Customers and the parts of some of their lines, as one bipartite graph."""
-    lines = table(spark, d, "lineitem").filter("l_quantity >= 49 and l_returnflag = 'R'").select("l_orderkey", "l_partkey")
+def bought(spark: SparkSession, d: str) -> DataFrame:
+    """All customers that ordered, and the parts they ordered, as one bipartite graph."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     held = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return held.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
-def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    return sparse(spark, d).withColumn("id", F.col("src") * 1_000_000 + F.col("dst"))
-
-
-@query(f"""WITH RECURSIVE e AS ({_SPARSE}), b AS (SELECT src, dst, src * 1000000 + dst AS id FROM e UNION ALL SELECT dst, src, src * 1000000 + dst FROM e),
-p AS (SELECT src AS first, dst AS last, [id] AS rels FROM b WHERE src % 20 = 0 UNION ALL SELECT p.first, b.dst, list_append(p.rels, b.id) FROM p JOIN b ON b.src = p.last WHERE len(p.rels) < 3 AND NOT list_contains(p.rels, b.id))
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey * 2 AS o, l_partkey * 2 + 1 AS p, l_orderkey * 8 + l_linenumber AS id FROM lineitem), b AS (SELECT o AS src, p AS dst, id FROM e UNION ALL SELECT p, o, id FROM e),
+p AS (SELECT src AS first, dst AS last, [id] AS rels FROM b UNION ALL SELECT p.first, b.dst, list_append(p.rels, b.id) FROM p JOIN b ON b.src = p.last WHERE len(p.rels) < 2 AND NOT list_contains(p.rels, b.id))
 SELECT len(rels) AS length, count(*) AS n, sum(last) AS ends FROM p GROUP BY 1""")
 def variable_length_paths(spark, d):
-    """Trails of one to three hops, in either direction, from a tenth of the customers: the pattern's own filter."""
-    e = _numbered(spark, d)
+    """Trails of one or two hops along the lines between orders and parts, in either direction, from all of them."""
+    e = table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "id"))
-    p = paths(both, e.filter("src % 20 = 0").select(F.col("src").alias("id")).distinct(), 1, 3)
+    p = paths(both, both.select(F.col("src").alias("id")).distinct(), 1, 2)
     return p.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.element_at("nodes", -1)).alias("ends"))
 
 
 # algorithms
 
 
-@query(f"WITH e AS ({_SPARSE}) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1")
+@query(f"WITH e AS ({_BOUGHT}) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1")
 def algo_degree(spark, d):
-    return G.degree(sparse(spark, d))
+    return G.degree(bought(spark, d))
+
+
+_BOTH = f"e AS ({_BOUGHT}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
-_BOTH = f"e AS ({_SPARSE}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+def _wcc_sql(rounds: int) -> str:
+    """The least label of the neighbours, so many times; of these graphs no two nodes of a component are farther apart."""
+    steps = [_BOTH.replace("AS (", "AS MATERIALIZED ("), "l0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS c FROM b)"]
+    steps += [f"l{i + 1} AS MATERIALIZED (SELECT l.node, least(any_value(l.c), min(m.c)) AS c FROM l{i} l JOIN b ON b.src = l.node JOIN l{i} m ON m.node = b.dst GROUP BY 1)" for i in range(rounds)]
+    return f"WITH {', '.join(steps)} SELECT node, c AS component FROM l{rounds}"
 
 
-@query(f"WITH RECURSIVE {_BOTH}, r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node AND r.c <= b.dst) SELECT node, min(c) AS component FROM r GROUP BY 1")
+@query(_wcc_sql(12))
 def algo_wcc(spark, d):
-    return G.connected_components(sparse(spark, d))
+    return G.connected_components(bought(spark, d))
 
 
-_SALES = "SELECT DISTINCT s_nationkey AS src, 100 + c_nationkey AS dst FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 48 AND o_orderstatus = 'F'"
-_TRI = "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 49 AND l_discount > 0.09"
+_FLOWS = "SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2"
+_TRI = f"SELECT src, dst FROM ({_FLOWS}) WHERE n * (SELECT count(*) FROM ({_FLOWS})) > (SELECT sum(n) FROM ({_FLOWS}))"
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """Nations that sell to nations, by some of the lines."""
+    """Nations that sell more lines to a nation than two nations do on average, counted over all lines: a graph of the nations, for what has a row a pair of nodes."""
     t = lambda n: table(spark, d, n)
-    lines = t("lineitem").filter("l_quantity > 49 and l_discount > 0.09").select("l_orderkey", "l_suppkey")
-    j = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).distinct()
+    j = t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    flows = written(j.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n")))
+    return flows.crossJoin(F.broadcast(flows.agg(F.count("*").alias("pairs"), F.sum("n").alias("total")))).filter("n * pairs > total").select("src", "dst")  # one row
+
+
+_MARKET = "SELECT DISTINCT * FROM (SELECT o_custkey * 3 AS src, l_partkey * 3 + 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT l_partkey * 3 + 1, l_suppkey * 3 + 2 FROM lineitem UNION ALL SELECT l_suppkey * 3 + 2, o_custkey * 3 FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+def market(spark: SparkSession, d: str) -> DataFrame:
+    """All customers, parts and suppliers that stand in a line, each line a triangle of a customer to a part to its supplier to the customer."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ends = (F.col("o_custkey") * 3, F.col("l_partkey") * 3 + 1, F.col("l_suppkey") * 3 + 2)
+    three = F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in zip(ends, (*ends[1:], ends[0]), strict=True)])
+    return lines.select(F.explode(three).alias("e")).select("e.*").distinct()
 
 
-_TB = f"e AS ({_TRI}), b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), deg AS (SELECT src AS node, count(*) AS n FROM b GROUP BY 1)"
+_SUPPLY = "SELECT DISTINCT * FROM (SELECT c_nationkey * 4 AS src, c_custkey * 4 + 1 AS dst FROM customer UNION ALL SELECT o_custkey * 4 + 1, o_orderkey * 4 + 2 FROM orders UNION ALL SELECT l_orderkey * 4 + 2, l_partkey * 4 + 3 FROM lineitem)"
 
 
-@query(f"WITH {_TB}, t AS (SELECT x.src AS node, count(*) AS n2 FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src WHERE x.dst < y.dst GROUP BY 1) SELECT node, coalesce(n2, 0) AS triangles, round(CASE WHEN n < 2 THEN 0.0 ELSE 2.0 * coalesce(n2, 0) / (n * (n - 1)) END, 9) AS coefficient FROM deg LEFT JOIN t USING (node)")
+def supply(spark: SparkSession, d: str) -> DataFrame:
+    """Nations to all their customers, to all their orders, to all their parts: a graph without cycles."""
+    t = lambda n, a, x, b, y: table(spark, d, n).select((F.col(a).cast("long") * 4 + x).alias("src"), (F.col(b).cast("long") * 4 + y).alias("dst"))
+    return t("customer", "c_nationkey", 0, "c_custkey", 1).unionByName(t("orders", "o_custkey", 1, "o_orderkey", 2)).unionByName(t("lineitem", "l_orderkey", 2, "l_partkey", 3)).distinct()
+
+
+def _tables(edges: str) -> str:
+    return f"e AS MATERIALIZED ({edges}), b AS MATERIALIZED (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), deg AS MATERIALIZED (SELECT src AS node, count(*) AS n FROM b GROUP BY 1)"
+
+
+_TB, _MB = _tables(_TRI), _tables(_MARKET)
+
+
+@query(f"WITH {_MB}, t AS (SELECT x.src AS node, count(*) AS n2 FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src WHERE x.dst < y.dst GROUP BY 1) SELECT node, coalesce(n2, 0) AS triangles, round(CASE WHEN n < 2 THEN 0.0 ELSE 2.0 * coalesce(n2, 0) / (n * (n - 1)) END, 9) AS coefficient FROM deg LEFT JOIN t USING (node)")
 def algo_triangle_count(spark, d):
-    return G.triangles(trade(spark, d)).withColumn("coefficient", F.round("coefficient", 9))
+    return G.triangles(market(spark, d)).withColumn("coefficient", F.round("coefficient", 9))
 
 
 def _rank_sql(rounds: int) -> str:
-    steps = [f"e AS ({_TRI})", "v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "o AS (SELECT src, count(*) AS n_out FROM e GROUP BY 1)", "r0 AS (SELECT node, n_out, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v LEFT JOIN o ON src = node)"]
+    steps = [f"e AS MATERIALIZED ({_MARKET})", "v AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)", "o AS (SELECT src, count(*) AS n_out FROM e GROUP BY 1)", "r0 AS (SELECT node, n_out, 1.0::DOUBLE / (SELECT count(*) FROM v) AS score FROM v LEFT JOIN o ON src = node)"]
     for i in range(rounds):
-        steps.append(f"r{i + 1} AS (SELECT node, n_out, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score), 0) FROM r{i} WHERE n_out IS NULL) / (SELECT count(*) FROM v)) AS score FROM r{i} LEFT JOIN (SELECT dst, sum(score / n_out) AS got FROM e JOIN r{i} ON node = src GROUP BY 1) ON dst = node)")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT node, n_out, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score), 0) FROM r{i} WHERE n_out IS NULL) / (SELECT count(*) FROM v)) AS score FROM r{i} LEFT JOIN (SELECT dst, sum(score / n_out) AS got FROM e JOIN r{i} ON node = src GROUP BY 1) ON dst = node)")
     return f"WITH {', '.join(steps)} SELECT node, round(score, 9) AS score FROM r{rounds}"
 
 
 @query(_rank_sql(8))
 def algo_page_rank(spark, d):
-    return G.page_rank(trade(spark, d), 8).withColumn("score", F.round("score", 9))
+    return G.page_rank(market(spark, d), 8, tolerance=0.0).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {_TB}, own AS (SELECT dst AS via FROM b WHERE src = 3), m AS (SELECT b.dst AS node, count(*) AS common, sum(CASE WHEN deg.n > 1 THEN 1 / ln(deg.n) ELSE 0 END) AS aa, sum(1.0 / deg.n) AS ra FROM own JOIN b ON b.src = via JOIN deg ON deg.node = via WHERE b.dst <> 3 GROUP BY 1) SELECT m.node, common, round(common / (n + (SELECT count(*) FROM own) - common), 9) AS jaccard, round(aa, 9) AS adamic_adar, round(ra, 9) AS resource, n * (SELECT count(*) FROM own) AS preferential FROM m JOIN deg ON deg.node = m.node")
+@query(f"WITH {_MB}, own AS (SELECT dst AS via FROM b WHERE src = 3), m AS (SELECT b.dst AS node, count(*) AS common, sum(CASE WHEN deg.n > 1 THEN 1 / ln(deg.n) ELSE 0 END) AS aa, sum(1.0 / deg.n) AS ra FROM own JOIN b ON b.src = via JOIN deg ON deg.node = via WHERE b.dst <> 3 GROUP BY 1) SELECT m.node, common, round(common / (n + (SELECT count(*) FROM own) - common), 9) AS jaccard, round(aa, 9) AS adamic_adar, round(ra, 9) AS resource, n * (SELECT count(*) FROM own) AS preferential FROM m JOIN deg ON deg.node = m.node")
 def algo_neighbour_scores(spark, d):
-    out = G.neighbour_scores(trade(spark, d), 3)
+    out = G.neighbour_scores(market(spark, d), 3)
     return out.select("node", "common", *[F.round(c, 9).alias(c) for c in ("jaccard", "adamic_adar", "resource")], "preferential")
 
 
 @query()
 def algo_k_core(spark, d):
-    return G.k_core(sparse(spark, d))
+    return G.k_core(bought(spark, d))
 
 
 @query()
 def algo_label_propagation(spark, d):
-    return G.label_propagation(sparse(spark, d), 4)
+    return G.label_propagation(bought(spark, d), 4)
+
+
+def _shortest_sql(rounds: int) -> str:
+    """So many rounds of relaxation, which is more than any shortest path of these graphs has edges."""
+    steps = [_BOTH.replace("AS (", "AS MATERIALIZED ("), "w AS MATERIALIZED (SELECT src, dst, CAST((src + dst) % 7 + 1 AS DOUBLE) AS weight FROM b)", "s0 AS MATERIALIZED (SELECT min(src) AS node, 0.0::DOUBLE AS cost FROM b)"]
+    steps += [f"s{i + 1} AS MATERIALIZED (SELECT node, min(cost) AS cost FROM (SELECT * FROM s{i} UNION ALL SELECT w.dst, s.cost + w.weight FROM s{i} s JOIN w ON w.src = s.node) GROUP BY 1)" for i in range(rounds)]
+    return f"WITH {', '.join(steps)} SELECT node, cost FROM s{rounds}"
 
 
-@query(f"WITH RECURSIVE {_BOTH}, w AS (SELECT src, dst, CAST((src + dst) % 7 + 1 AS DOUBLE) AS weight FROM b), s AS (SELECT min(src) AS node, 0.0::DOUBLE AS cost, 0 AS hops FROM b UNION SELECT w.dst, s.cost + w.weight, hops + 1 FROM s JOIN w ON w.src = s.node WHERE hops < 6) SELECT node, min(cost) AS cost FROM s GROUP BY 1")
+@query(_shortest_sql(24))
 def algo_shortest_paths(spark, d):
-    both = G.undirected(sparse(spark, d))
-    first = both.agg(F.min("src")).first()[0]
+    both = written(G.undirected(bought(spark, d)))
     weighted = both.withColumn("weight", ((F.col("src") + F.col("dst")) % 7 + 1).cast("double"))
-    return G.shortest_distances(weighted, first, 6)
+    return G.shortest_distances(weighted, both.agg(F.min("src")).first()[0])
 
 
 # aggregation and predicates
@@ -299,4 +333,4 @@ def full_text(spark, d):
     return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["idiot", "clown"]).withColumn("score", F.round("score", 6))
 
 
-from . import cypher_queries, dialect_queries, graph_queries, value_queries  # noqa: E402, F401  they register themselves
+from . import cypher_queries, dialect_queries, function_queries, graph_queries, value_queries  # noqa: E402, F401  they register themselves
