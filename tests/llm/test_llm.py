@@ -535,16 +535,16 @@ def test_columns_that_clash(spark):
 def test_long_texts(spark):
     """Texts of some megabytes, longer than the blocks that operators work in, go through all of them whole."""
     r = random.Random(31)
-    words = [f"{r.choice('abcdef')}{r.randrange(10**5)}" for _ in range(90_000)]
+    words = [f"{r.choice('abcdef')}{r.randrange(10**5)}" for _ in range(60_000)]
     long = " ".join(words)
-    rows = [(1, long), (2, long.replace(words[45_000], "changed", 1)), (3, " ".join(words[80_000:80_100])), (4, "x" * 1_200_000), (5, "x" * 1_200_000 + "y"), (6, long)]
+    rows = [(1, long), (2, long.replace(words[30_000], "changed", 1)), (3, " ".join(words[50_000:50_100])), (4, "x" * 150_000), (5, "x" * 150_000 + "y"), (6, long)]
     docs = table(spark, rows)
     gone = {x["doc_id"]: x["n_removed"] for x in substring_dedup.substring_dedup(docs).collect()}
-    assert gone[1] == gone[4] == gone[5] == 0 and gone[6] == 90_000 and gone[3] == 100 and gone[2] == 90_000 - sum(w == "changed" for w in long.replace(words[45_000], "changed", 1).split())
+    assert gone[1] == gone[4] == gone[5] == 0 and gone[6] == 60_000 and gone[3] == 100 and gone[2] == 60_000 - sum(w == "changed" for w in long.replace(words[30_000], "changed", 1).split())
     bytes_gone = {x["doc_id"]: x["n_removed"] for x in suffix_array_dedup.suffix_array_dedup(docs).collect()}
-    assert bytes_gone[1] == bytes_gone[4] == 0 and bytes_gone[6] == len(long) and bytes_gone[5] == 1_200_000 and 0 < len(long) - bytes_gone[2] < 200
+    assert bytes_gone[1] == bytes_gone[4] == 0 and bytes_gone[6] == len(long) and bytes_gone[5] == 150_000 and 0 < len(long) - bytes_gone[2] < 200
     assert {x["doc_id"]: x["keep_id"] for x in exact_dedup.exact_dedup(docs).collect()} == {1: 6, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
     assert {x["doc_id"]: x["class_id"] for x in ngram_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
-    assert {x["doc_id"]: x["n_removed"] for x in line_dedup.line_dedup(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1} or words[45_000] != "changed"
-    item = spark.createDataFrame([(1, " ".join(words[60_000:60_040]))], "item_id long, text string")
+    assert {x["doc_id"]: x["n_removed"] for x in line_dedup.line_dedup(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 1} or words[30_000] != "changed"
+    item = spark.createDataFrame([(1, " ".join(words[40_000:40_040]))], "item_id long, text string")
     assert {x["doc_id"] for x in decontamination.decontaminate(docs, item).filter("contaminated").collect()} == {1, 2, 6}
