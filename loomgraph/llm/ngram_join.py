@@ -190,10 +190,12 @@ def _candidates(docs: DataFrame, threshold: float, n: int, recall: float) -> tup
     depth = prefix_depth(threshold, recall=recall)
     signed = common.map_arrow(docs, _signed(n, depth), "cls long, check long, _id long, _key long, size long, nodes array<long>")
     signed = common.written(signed)
+    # documents of one set by 128 bits of hashes; a class goes by its first document from here on
+    own = F.when(F.col("at._key") == 0, F.col("at._id")).otherwise(F.xxhash64("at._id", "at._key"))
     classes = common.written(
-        signed.groupBy("cls")
+        signed.groupBy("cls", "check")
         .agg(F.min(F.struct("_id", "_key")).alias("at"), F.count("*").alias("n_copies"), F.any_value("size").alias("size"), F.any_value("nodes").alias("nodes"))
-        .select("cls", "at.*", "n_copies", "size", "nodes")
+        .select(F.col("cls").alias("h1"), F.col("check").alias("h2"), own.alias("cls"), "at.*", "n_copies", "size", "nodes")
     )
     placed = classes.select("cls", "size", F.posexplode("nodes").alias("tree", "node"))
     # nodes of the same members show the same pairs: the one of the lowest tree does
@@ -210,7 +212,8 @@ def _candidates(docs: DataFrame, threshold: float, n: int, recall: float) -> tup
     texts = common.written(docs.select("_id", "_key", "_text").join(wanted.hint("shuffle_hash"), ["_id", "_key"]).select("cls", "size", "nodes", "_text").dropDuplicates(["cls"]))
     each = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("node", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "tree", "cls", "side").join(texts, "cls")
-    members = docs.select("_id", "_key").join(signed.select("_id", "_key", "cls").distinct(), ["_id", "_key"], "left").join(classes.select("cls", "n_copies"), "cls", "left")
+    named = signed.select("_id", "_key", F.col("cls").alias("h1"), F.col("check").alias("h2")).distinct()
+    members = docs.select("_id", "_key").join(named, ["_id", "_key"], "left").join(classes.select("h1", "h2", "cls", "n_copies"), ["h1", "h2"], "left")
     return members.select("_id", "_key", "cls", "n_copies"), each.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q")
 
 
