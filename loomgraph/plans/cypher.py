@@ -33,7 +33,7 @@ _TOKEN = re.compile(
     r"|(?P<name>[^\W\d]\w*|`[^`]+`)|(?P<param>\$\w+)|(?P<op><=>|<>|<=|>=|!=|==|=~|\.\.|[-+*/%^=<>(){}\[\],.:;|])",
     re.S,
 )
-_CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "WITH", "RETURN", "UNWIND", "ORDER", "SKIP", "OFFSET", "LIMIT", "UNION", "FINISH", "CALL", "YIELD", "LOAD"}
+_CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "WITH", "RETURN", "UNWIND", "ORDER", "SKIP", "OFFSET", "LIMIT", "UNION", "FINISH", "CALL", "YIELD", "LOAD", "CREATE", "MERGE", "SET", "REMOVE", "DELETE", "DETACH", "FOREACH", "ON"}
 
 
 class CypherError(ValueError):
@@ -226,9 +226,16 @@ class _Query:
                 return self.current().select(*[self.value(n).alias(n) for n in order])
             elif self.take("FINISH"):
                 return self.current().limit(0)
+            elif self.write():
+                if self.i >= len(self.toks) or self.peek("UNION", ";"):
+                    return self.current().limit(0)
             else:
                 raise CypherError(f"a clause expected, not {self.next()!r}")
 
+    def write(self) -> bool:
+        """Run a clause that changes the graph, if one stands here; of a query that reads there is none."""
+        return False
+
     def constant_value(self) -> Any:
         """A literal, a parameter, a list or a map of these; of a variable of a node its (label, id), which must be one."""
         if self.take("["):

@@ -333,4 +333,4 @@ def full_text(spark, d):
     return search.bm25(table(spark, d, "documents"), "doc_id", "text", ["idiot", "clown"]).withColumn("score", F.round("score", 6))
 
 
-from . import cypher_queries, dialect_queries, function_queries, graph_queries, value_queries  # noqa: E402, F401  they register themselves
+from . import change_queries, cypher_queries, dialect_queries, function_queries, graph_queries, value_queries  # noqa: E402, F401  they register themselves
