@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import aggregates as A
-from ..functions import library
+from ..functions import geometry, library  # noqa: F401  geometry enters its functions in the library
 from ..functions import lists as L
 from ..functions import predicates as P
 from ..functions import scalars as S
@@ -68,6 +68,13 @@ _GROUPED: dict[str, Callable[..., Column]] = {
     "count": F.count, "sum": A.total, "avg": F.avg, "min": F.min, "max": F.max, "first": F.first, "last": F.last, "list": F.collect_list, "set": F.collect_set, "mode": A.modes, "variance": A.variance, "stddev": A.stddev, "median": lambda x: A.percentile(x, 0.5),
     "bool_or": A.any_true, "bool_and": A.all_true, "ts.first": A.ts_first, "ts.last": A.ts_last, "ts.delta": A.ts_delta, "ts.rate": A.ts_rate, "ts.correlate": A.ts_correlate, "variancep": lambda x: A.variance(x, True), "stddevp": lambda x: A.stddev(x, True),
 }
+#: Methods that need the types of what they are called on.
+_TYPED: dict[str, Callable[..., Column]] = {
+    "iswithin": library.SQL["geo.within"], "intersectswith": library.SQL["geo.intersects"], "normalize": library.SQL["normalize"], "asmap": library.as_map, "convert": lambda q, v, kind: v.try_cast({"LONG": "long", "INTEGER": "int", "STRING": "string", "DOUBLE": "double", "FLOAT": "float", "BOOLEAN": "boolean", "DATE": "date", "DATETIME": "timestamp"}[str(kind._jc.toString()).strip("'").upper()]),
+    "precision": lambda q, v, unit: F.call_function("date_trunc", unit, v), "javatype": lambda q, v: F.lit({"StringType": "java.lang.String", "LongType": "java.lang.Long", "IntegerType": "java.lang.Integer", "DoubleType": "java.lang.Double", "BooleanType": "java.lang.Boolean"}.get(type(q.type_of(v)).__name__, "java.lang.Object")),
+    "assparse": lambda q, v, least=None: library.to_sparse(v, least), "include": lambda q, v, *names: F.struct(*[v.getField(n).alias(n) for n in (str(x._jc.toString()).strip("'") for x in names)]),
+    "exclude": lambda q, v, *names: F.struct(*[v.getField(f.name).alias(f.name) for f in q.type_of(v).fields if f.name not in [str(x._jc.toString()).strip("'") for x in names]]), "lastindexof": lambda q, s, t: F.when(F.instr(F.reverse(s), F.reverse(t)) == 0, F.lit(-1)).otherwise(F.char_length(s) - F.instr(F.reverse(s), F.reverse(t)) - F.char_length(t) + 1).cast("long"),
+}
 _BUCKET = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -485,6 +492,8 @@ class _Sql(_Query):
                 v = F.date_format(v, "yyyy-MM-dd") if not args else F.date_format(v, args[0]) if isinstance(self.type_of(v), T.TimestampType | T.TimestampNTZType | T.DateType) else F.call_function("format_string", args[0], v)
             elif low in _METHODS:
                 v = _METHODS[low](v, *args)
+            elif low in _TYPED:
+                v = _TYPED[low](self, v, *args)
             else:
                 raise SqlError(f"there is no method {name}")
         return v

@@ -112,6 +112,16 @@ _text(
     p_name IS DEFINED AS d, nope IS NOT DEFINED AS nd, p_size <=> null AS ns, p_name INSTANCEOF Part AS io FROM Part WHERE map('k', p_size) CONTAINSKEY 'k' AND p_size != 7 AND map('k', p_size) CONTAINSVALUE p_size""",
     """SELECT p_partkey, CAST(p_size * p_size AS DOUBLE) AS sq, base64(encode(p_name)) AS enc, p_name AS back, p_brand AS ie, p_brand || '/' || p_type AS f, 0 AS same, 'k' AS mk, 3 AS three, strlen(p_name) AS b, true AS d, true AS nd, p_size IS NULL AS ns, true AS io FROM part WHERE p_size <> 7""",
 )
+_text(
+    "sql", "geometry",
+    """SELECT p_partkey AS k, geo.asText(geo.point(p_size, p_partkey)) AS pt, geo.x(geo.point(p_size, 2)) AS x, geo.y(geo.point(1, p_size)) AS y, geo.area(rectangle(0, 0, p_size, 2)) AS area, geo.contains(rectangle(0, 0, 10, 10), geo.point(p_size, 5)) AS inside, geo.within(geo.point(p_size, 5), rectangle(0, 0, 10, 10)) AS within,
+    geo.intersects(rectangle(0, 0, p_size, 1), rectangle(10, 0, 20, 1)) AS met, geo.disjoint(rectangle(0, 0, p_size, 1), rectangle(10, 0, 20, 1)) AS apart, geo.touches(rectangle(0, 0, p_size, 1), rectangle(10, 0, 20, 1)) AS touch, geo.overlaps(rectangle(0, 0, p_size, 1), rectangle(10, 0, 20, 1)) AS lap,
+    geo.equals(rectangle(0, 0, p_size, 1), rectangle(0, 0, 10, 1)) AS same, geo.crosses(geo.lineString([[0, 0], [p_size, 0]]), geo.polygon([[5, -1], [7, -1], [7, 1], [5, 1]])) AS cross, geo.dWithin(geo.point(p_size, 0), geo.point(0, 0), 12) AS near, geo.distance(geo.point(p_size, 0), rectangle(0, 0, 10, 10)) AS dist,
+    geo.envelope(geo.lineString([[0, 0], [p_size, 3]])) AS env, geo.asGeoJson(geo.point(p_size, 1)) AS js, geo.area(geo.buffer(geo.point(0, 0), p_size)) > 3 * p_size * p_size AS wide, geo.geomFromText('POINT (1 2)') AS back, geo.point(p_size, 5).isWithin(rectangle(0, 0, 10, 10)) AS m, p_name.lastIndexOf('a') >= -1 AS li,
+    p_size.convert('STRING') AS cv, p_name.javaType() AS jt FROM Part WHERE p_size > 0""",
+    """SELECT p_partkey AS k, 'POINT (' || p_size || ' ' || p_partkey || ')' AS pt, p_size::DOUBLE AS x, p_size::DOUBLE AS y, 2.0 * p_size AS area, p_size < 10 AS inside, p_size < 10 AS within, p_size >= 10 AS met, p_size < 10 AS apart, p_size = 10 AS touch, p_size > 10 AND p_size < 20 AS lap, p_size = 10 AS same, p_size > 5 AS cross, p_size <= 12 AS near,
+    greatest(p_size - 10, 0)::DOUBLE AS dist, 'POLYGON ((0 0, ' || p_size || ' 0, ' || p_size || ' 3, 0 3, 0 0))' AS env, '{"type":"Point","coordinates":[' || p_size || '.0,1.0]}' AS js, true AS wide, 'POINT (1 2)' AS back, p_size < 10 AS m, true AS li, CAST(p_size AS VARCHAR) AS cv, 'java.lang.String' AS jt FROM part WHERE p_size > 0""",
+)
 _text(
     "cypher", "node_functions",
     "MATCH (c:Customer) RETURN c.c_custkey AS k, node.id(c) AS id, node.labels(c)[0] AS l, node.degree(c) AS d, node.degree.out(c, 'PLACED') AS o, node.degree.in(c, 'PLACED') AS i, node.relationship.exists(c, 'PLACED') AS e, node.relationship.types(c, ['PLACED', 'LIVES_IN'])[0] AS t",

@@ -65,6 +65,26 @@ SQL = [
 ]
 
 
+def square(a, b, c, d):
+    return ("POLYGON", [(a, b), (c, b), (c, d), (a, d), (a, b)])
+
+
+def test_geometry():
+    from loomgraph.functions import geometry as G
+
+    big, small, right = square(0, 0, 4, 4), square(1, 1, 2, 2), square(4, 0, 8, 4)
+    line, cut = G.parse("LINESTRING (-1 2, 5 2)"), G.parse("LINESTRING (2 -1, 2 5)")
+    for a, b, want in ((big, small, "contains intersects"), (big, right, "intersects touches"), (big, square(2, 2, 6, 6), "intersects overlaps"), (big, big, "contains intersects equals"), (line, big, "crosses intersects"), (line, cut, "crosses intersects"), (big, square(9, 9, 10, 10), ""),
+                       (square(1, -1, 2, 5), square(-1, 1, 5, 2), "intersects overlaps"), (big, ("POINT", [(0.0, 1.0)]), "intersects touches"), (big, ("POINT", [(1.0, 1.0)]), "contains intersects"), (big, G.parse("LINESTRING (1 1, 3 3)"), "contains intersects"), (big, G.parse("LINESTRING (0 0, 4 0)"), "intersects touches")):
+        got = {"contains": G.contains(a, b), "intersects": G.intersects(a, b), "touches": G.intersects(a, b) and not G._insides_meet(a, b), "overlaps": G.overlaps(a, b), "equals": G.equals(a, b), "crosses": G.crosses(a, b)}
+        assert {k for k, v in got.items() if v} == set(want.split()), (a, b)
+        assert G.intersects(b, a) == got["intersects"] and G.overlaps(b, a) == got["overlaps"]
+    assert G.distance(big, square(7, 8, 9, 9)) == 5.0 and G.distance(big, small) == 0.0 and G.area(big) == 16.0
+    assert G.envelope(line) == "POLYGON ((-1 2, 5 2, 5 2, -1 2, -1 2))" and G.geo_json(("POINT", [(1.0, 2.0)])) == '{"type":"Point","coordinates":[1.0,2.0]}'
+    with pytest.raises(ValueError):
+        G.parse("nothing")
+
+
 def people(spark):
     v = spark.createDataFrame([(1, "ann", 3, "red"), (2, "bob", 5, "red"), (3, "cid", 7, "blue"), (4, "dee", 1, None)], "id long, name string, age int, team string")
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 5.0), (3, 1, 1.0)], "a long, b long, w double")
