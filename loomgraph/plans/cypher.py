@@ -353,6 +353,10 @@ class _Query:
                 where = self.expression()
                 self.rows = self.rows.filter(where)
             return
+        self.attach(paths, lambda: self.expression() if self.take("WHERE") else None)
+
+    def attach(self, paths: list[Path], where: Callable[[], Column | None]) -> None:
+        """Each row with the matches of paths, or with nulls where there is none. where is read once the columns are known."""
         left, outer = self.current(), dict(self.scope)
         right, inner = self.bind(None, {}, paths)
         shared = [v for v in inner if v in outer]
@@ -362,8 +366,9 @@ class _Query:
         on = F.lit(True)
         for v in shared:
             on = on & (_c(v) == _c(f"{v}#"))
-        if self.take("WHERE"):
-            on = on & self.expression()
+        condition = where()
+        if condition is not None:
+            on = on & condition
         self.rows = left.join(right, on, "left").drop(*[f"{v}#" for v in shared])
 
     def items(self) -> list[tuple[str, Var | Column, bool, str | None]]:
@@ -685,10 +690,10 @@ class _Query:
     def shortest(self, rows: DataFrame, p: Path, chosen, types, bound: set[str]) -> DataFrame:
         """Breadth first from the distinct starts; of the paths to a node one stays (the least), or all of its level."""
         r, (a, b) = p.rels[0], (p.nodes[0].name, p.nodes[1].name)
-        for n in (a, b):
-            if n not in bound:
-                rows = rows.crossJoin(self.scan(n, chosen[n]))
-                bound.add(n)
+        ends = b not in bound and a != b
+        if a not in bound:
+            rows = rows.crossJoin(self.scan(a, chosen[a]))
+            bound.add(a)
         name = p.name or self.anonymous()
         e = written(self.edges(types[r.name], "~s", "~d", "~k", props=False).select("~s", "~d", F.col("~k").cast("string").alias("~k")))
         key = e.schema["~d"].dataType
@@ -708,6 +713,10 @@ class _Query:
         found = front if out is None else out
         found = found.withColumn(f"{name}:length", F.size(_c(f"{name}:rels")).cast("long"))
         bound.add(r.name)
+        if ends:  # what is reached are the ends
+            bound.add(b)
+            rows = rows.join(found, _c(a) == _c("~a")).drop("~a").withColumnRenamed("~z", b).join(self.scan(b, chosen[b]), b)
+            return rows.withColumn(r.name, _c(f"{name}:rels"))
         return rows.join(found, (_c(a) == _c("~a")) & (_c(b) == _c("~z"))).drop("~a", "~z").withColumn(r.name, _c(f"{name}:rels"))
 
     # expressions, from the loosest operator to the tightest

@@ -350,18 +350,40 @@ class _Sql(_Query):
             paths.append(path)
             if not self.take(","):
                 break
-        if optional:
-            raise SqlError("optional pattern items aren't supported")
+        late = []
+        for path in paths:  # from the first optional item on, a part of its own
+            k = next((k for k, n in enumerate(path.nodes) if n.name in optional), None)
+            if k == 0:
+                raise SqlError("a pattern can't begin with an optional item")
+            if k is not None:
+                late.append(Path(None, [Node(path.nodes[k - 1].name, path.nodes[k - 1].labels, {}), *path.nodes[k:]], path.rels[k - 1 :]))
+                path.nodes, path.rels = path.nodes[:k], path.rels[: k - 1]
         self.rows, self.scope = self.bind(None, {}, paths)
         back_to = self.i
-        for name, at in filters:
+
+        def condition(name: str, at: int) -> Column:
             self.i = at
             held = self.scope
-            inner = {c[len(name) + 1 :]: _c(c) for c in self.rows.columns if c.startswith(f"{name}.")}
-            self.scope = held | inner
+            self.scope = held | {c[len(name) + 1 :]: _c(c) for c in self.rows.columns if c.startswith(f"{name}.")}
             where = self.expression()
             self.scope = held
-            self.rows = self.rows.filter(where)
+            return where
+
+        for name, at in filters:
+            if name in self.scope:
+                self.rows = self.rows.filter(condition(name, at))
+        for path in late:
+            first = self.scope[path.nodes[0].name]
+            path.nodes[0].labels = first.labels
+
+            def on(path: Path = path) -> Column | None:
+                out = None
+                for name, at in filters:
+                    if name in {n.name for n in path.nodes[1:]}:
+                        out = condition(name, at) if out is None else out & condition(name, at)
+                return out
+
+            self.attach([path], on)
         self.i = back_to
         self.need("RETURN")
         distinct = self.take("DISTINCT")

@@ -41,3 +41,6 @@ def sql_traverse(spark, d):
 def sql_time_bucket(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return sql(Graph({"Event": (e, "event_id")}), "SELECT event_type, ts.timeBucket('1h', ts) AS hour, count(*) AS n, max(value) AS top FROM Event GROUP BY event_type, hour").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+_text("match_optional", "MATCH {type: Customer, as: c, where: (c_acctbal > 5000)}.out('PLACED'){as: o, where: (o_orderstatus = 'F'), optional: true} RETURN c.c_custkey AS c, count(o.o_orderkey) AS n GROUP BY c.c_custkey", "SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' WHERE c_acctbal > 5000 GROUP BY 1")
