@@ -60,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             where = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         else:
             where = f"/tmp/loomgraph-{spark.sparkContext.applicationId}"
             spark.sparkContext.setCheckpointDir(where)
