@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """df written to spark.checkpoint.dir (or, where that is unset, a folder of our own) and read back; its shuffle files go when the write ends."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/loomgraph-{spark.sparkContext.applicationId}"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        where = f"/tmp/loomgraph-{spark.sparkContext.applicationId}"
     path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
