@@ -9,6 +9,7 @@ from ..sources.tables import table
 from .cypher_queries import _SELLS, _trade
 from .dialect import sql
 from .queries import graph, query
+from .select import select
 
 
 def _text(name: str, text: str, plain: str, **params) -> None:
@@ -44,3 +45,32 @@ def sql_time_bucket(spark, d):
 
 
 _text("match_optional", "MATCH {type: Customer, as: c, where: (c_acctbal > 5000)}.out('PLACED'){as: o, where: (o_orderstatus = 'F'), optional: true} RETURN c.c_custkey AS c, count(o.o_orderkey) AS n GROUP BY c.c_custkey", "SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' WHERE c_acctbal > 5000 GROUP BY 1")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE (c_acctbal > 5000 AND c_name LIKE 'C%') OR NOT (c_mktsegment IN ('BUILDING', 'MACHINERY')) AND (c_nationkey BETWEEN 3 AND 9 OR c_acctbal < 0)")
+def select_where(spark, d):
+    s = select(graph(spark, d)).from_type("Customer").where().property("c_acctbal").gt().parameter("least").and_().property("c_name").like().value("C%").or_().not_().property("c_mktsegment").in_().value(["BUILDING", "MACHINERY"]).and_()
+    return s.block(lambda c: c.property("c_nationkey").between().value((3, 9)).or_().property("c_acctbal").lt().value(0)).compile().bind(least=5000).rows().select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice >= 1000 AND o_custkey IS NOT NULL ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 3")
+def select_ordered(spark, d):
+    s = select(graph(spark, d)).from_type("Order").where().property("o_orderstatus").neq().value("F").and_().property("o_totalprice").ge().value(1000).and_().property("o_custkey").is_not_null()
+    return s.order_by("o_totalprice", False).order_by("o_orderkey").skip(3).limit(10).rows().select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal <= 0 GROUP BY 1")
+def select_vertex_traversal(spark, d):
+    return select(graph(spark, d)).from_type("Customer").where().property("c_acctbal").le().value(0).out("LIVES_IN").out("PART_OF").rows().groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7")
+def select_edge_traversal(spark, d):
+    return select(graph(spark, d)).from_type("Part").where().property("p_size").eq().value(7).in_edges("CONTAINS").rows().select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT vec_id, round(list_distance(list_transform(embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 3)), 6) AS distance FROM embeddings WHERE label > 0 ORDER BY list_distance(list_transform(embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 3)), vec_id LIMIT 5")
+def select_vector(spark, d):
+    e = table(spark, d, "embeddings")
+    target = [float(x) for x in e.filter("vec_id = 3").first()["embedding"]]
+    return select(Graph({"V": (e, "vec_id")})).from_type("V").where().property("label").gt().value(0).nearest_to("embedding", target, 5).rows().select("vec_id", F.round("distance", 6).alias("distance"))
