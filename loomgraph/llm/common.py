@@ -128,9 +128,7 @@ def shown_id() -> F.Column:
 def tidy() -> None:
     """Give the memory that this process has freed back to its machine: an idle Python worker otherwise holds on to its peak."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
