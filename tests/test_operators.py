@@ -171,6 +171,7 @@ def test_cypher_refuses(spark, text):
         ("TRAVERSE out('KNOWS') FROM Person WHERE id = 1 MAXDEPTH 1", [(1, "Ann", 30, ["x", "y"], 0), (2, "Bob", None, [], 1)]),
         ("MATCH {type: Person, as: a, where: (age > 25)}-LIVES->{as: t, where: (name LIKE 'U%')} RETURN a.name AS a, t.name AS t", [("Ann", "Ulm")]),
         ("MATCH {type: Person, as: a, where: (id = 1)}.out('KNOWS'){as: b, maxDepth: 2} RETURN b.id AS b ORDER BY b", [(1,), (2,), (3,)]),
+        ("MATCH {type: Person, as: a}.out('LIVES'){as: t, where: (name LIKE 'U%'), optional: true} RETURN a.id AS a, t.name AS t ORDER BY a", [(1, "Ulm"), (2, "Ulm"), (3, None), (4, None)]),
         ("SELECT ts, k FROM (SELECT max(since) AS ts, count(*) AS k FROM KNOWS)", [(8, 4)]),
     ],
 )
@@ -179,7 +180,7 @@ def test_dialect(spark, text, want):
     assert got == want if "ORDER" in text else sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("text", ["SELECT x FROM Nothing", "SELECT nothing(1)", "SELECT 1 FROM Person GROUP", "INSERT INTO Person SET id = 1", "SELECT name.nothing() FROM Person", "MATCH {type: Person, as: a}.out('LIVES'){as: t, optional: true} RETURN a"])
+@pytest.mark.parametrize("text", ["SELECT x FROM Nothing", "SELECT nothing(1)", "SELECT 1 FROM Person GROUP", "INSERT INTO Person SET id = 1", "SELECT name.nothing() FROM Person", "MATCH {type: Person, as: a, optional: true}.out('LIVES'){as: t} RETURN a"])
 def test_dialect_refuses(spark, text):
     with pytest.raises(CypherError):
         sql(small_graph(spark), text)
