@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,31 @@ def test_betweenness_and_bridges(spark):
     want = {e for i, e in enumerate(flat) if parts(flat[:i] + flat[i + 1 :]) > parts(flat)}
     assert {tuple(r) for r in S.bridges(edges).collect()} == want
     assert S.bridges(edges.limit(0)).count() == 0 and S.betweenness(edges.limit(0)).count() == 0
+
+
+def brute_triangles(pairs):
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return {v: (sum(b in near[a] for a in near[v] for b in near[v] if a < b), len(near[v])) for v in near}
+
+
+def test_triangles_of_several_colours(spark, monkeypatch):
+    """Passes over pairs of colours, nodes with and without a rank, parallel edges, loops, numbers too far apart for one code."""
+    from loomgraph.operators import triangles as T
+
+    monkeypatch.setattr(T, "HELD", 60)
+    monkeypatch.setattr(T, "HEAVY", 8)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(300)] + [(0, v) for v in range(40)] + [(2**62 + v, -(2**62) + w) for v in range(4) for w in range(4)] + [(2**62, 2**62 + 1), (7, 2**62), (7, 2**62 + 1)]
+    want = {v: (t, 0.0 if n < 2 else 2.0 * t / (n * (n - 1))) for v, (t, n) in brute_triangles(pairs).items()}
+    assert {r["node"]: (r["triangles"], r["coefficient"]) for r in G.triangles(edges(spark, *pairs, *pairs[:50])).collect()} == want
+    assert G.triangles(edges(spark, (1, 1))).collect() == []
+
+
+def test_triangles_join_no_paths(spark):
+    """Paths of two edges are met where a node's lists are; a join of them takes a shuffle of all."""
+    plan = G.triangles(edges(spark, (1, 2), (2, 3), (3, 1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
