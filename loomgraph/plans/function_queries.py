@@ -11,7 +11,7 @@ from ..operators.pattern import Graph
 from ..sources.tables import table
 from .cypher import cypher
 from .dialect import sql
-from .queries import _BOTH, _MB, ORACLES, QUERIES, _rank_sql, _wcc_sql, bought, graph, market
+from .queries import _BOTH, _MB, ORACLES, QUERIES, _rank_sql, _wcc_sql, bought, graph, market, market_lines
 
 
 def _text(kind: str, name: str, text: str, oracle: str, of: Callable[[SparkSession, str], Graph] = graph, after: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
@@ -137,8 +137,8 @@ _text(
 # procedures
 
 
-def _market(spark: SparkSession, d: str) -> Graph:
-    e = market(spark, d)
+def _market(spark: SparkSession, d: str, edges: Callable[[SparkSession, str], DataFrame] = market) -> Graph:
+    e = edges(spark, d)
     return Graph({"N": (e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), "id")}, {"TO": (e, "src", "dst")}, {"TO": ("N", "N")})
 
 
@@ -150,7 +150,7 @@ def _shop(spark: SparkSession, d: str) -> Graph:
 _text("cypher", "call_page_rank", "CALL algo.pagerank({maxIterations: 8, tolerance: 0}) YIELD node, score RETURN id(node) AS node, round(score, 9) AS score", _rank_sql(8), _market, lambda df: df.withColumn("score", F.round("score", 9)))
 _text("cypher", "call_wcc", "CALL algo.wcc() YIELD node, componentId RETURN id(node) AS node, componentId AS component", _wcc_sql(12), _shop)
 _text("cypher", "call_degree", "CALL algo.degree() YIELD node AS who, inDegree, outDegree, degree RETURN id(who) AS node, inDegree AS in_degree, outDegree AS out_degree, degree", ORACLES["algo_degree"], _shop)
-_text("cypher", "call_triangles", "CALL algo.triangleCount({relTypes: 'TO'}) YIELD node, triangles RETURN id(node) AS node, triangles", f"SELECT node, triangles FROM ({ORACLES['algo_triangle_count']})", _market)
+_text("cypher", "call_triangles", "CALL algo.triangleCount({relTypes: 'TO'}) YIELD node, triangles RETURN id(node) AS node, triangles", f"SELECT node, triangles FROM ({ORACLES['algo_triangle_count']})", lambda spark, d: _market(spark, d, market_lines))
 _text(
     "cypher", "call_link_scores", "MATCH (a:N {id: 3}) CALL algo.commonNeighbors(a) YIELD node2, commonNeighbors RETURN id(node2) AS node, commonNeighbors AS common",
     f"WITH {_MB}, own AS (SELECT dst AS via FROM b WHERE src = 3) SELECT b.dst AS node, count(*) AS common FROM own JOIN b ON b.src = via WHERE b.dst <> 3 GROUP BY 1", _market,
