@@ -252,3 +252,18 @@ def test_triangles_join_no_paths(spark):
     """Paths of two edges are met where a node's lists are; a join of them takes a shuffle of all."""
     plan = G.triangles(edges(spark, (1, 2), (2, 3), (3, 1)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_geometry_of_equal_arguments_once(spark, tmp_path):
+    from loomgraph.functions import geometry
+
+    log = tmp_path / "calls"
+
+    def f(g):
+        with log.open("a") as out:
+            out.write("x")
+        return geometry.area(g)
+
+    rows = spark.range(0, 500, 1, 1).select(F.when(F.col("id") % 5 > 0, F.concat(F.lit("POLYGON ((0 0, "), (F.col("id") % 2 + 1).cast("string"), F.lit(" 0, 1 1, 0 0))"))).alias("g"))
+    got = rows.select(geometry._udf("double", 1, f)(None, F.col("g")).alias("a")).groupBy("a").count().collect()
+    assert {(r["a"], r["count"]) for r in got} == {(None, 100), (0.5, 200), (1.0, 200)} and log.read_text() == "xx"
