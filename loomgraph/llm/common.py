@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -68,23 +69,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, *, by: str | None = None, beside: int = 0) -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage and outlives executors.
 
     One pass, unlike checkpoint(), which computes the last stage twice. Spark is
     told to drop the shuffle files of the write when it ends; else they stay
-    until the driver happens to collect its garbage.
+    until the driver happens to collect its garbage. Each value of `by` has its
+    own files; a task writes those of up to `beside` values without a sort.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     out = df.write.option("compression", "zstd")
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if beside:
+        conf["spark.sql.maxConcurrentOutputFileWriters"] = str(beside)
+    before = {x: spark.conf.get(x, None) for x in conf}
+    for x, to in conf.items():
+        spark.conf.set(x, to)
     try:
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
-        spark.conf.set(cleanup, before)
+        for x, to in before.items():
+            spark.conf.unset(x) if to is None else spark.conf.set(x, to)
     held = spark.read.schema(df.schema).parquet(path)
     held._loom_path = path
     return held
@@ -177,6 +183,23 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, or bytes of one of texts, as one array, and where those of each row begin in it (and the last row's end); null is empty."""
+    nested = pa.types.is_list(column.type)
+    if column.null_count:
+        column = pa.array(column.to_pylist(), column.type) if nested else column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    n, wide = len(column), pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not n:
+        return np.zeros(0, np.int64 if nested else np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    if nested:
+        values = column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False)
+    else:
+        held = column.buffers()[2]
+        values = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None else np.zeros(0, np.uint8)
+    return values, at - at[0]
+
+
 def rowed(docs: DataFrame) -> DataFrame:
     """keyed(docs) with the other columns of each row as _row, so that no column's name can clash; unrowed() shows them again. The text goes once."""
     cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +49,16 @@ class Tokens:
     def side(self) -> int:
         return self.length - self.k
 
-    def hashes(self, text: bytes) -> np.ndarray:
-        return seqhash.words(text)[2] if self.kind == "words" else seqhash.BYTE[np.frombuffer(text, np.uint8)]
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of a column of texts one after another, as they are compared in an extension, and where each text's begin (and the last one's end)."""
+        if self.kind == "bytes":
+            return common.flat(column)
+        held = [seqhash.words(text)[2] for text in common.raw(column)]
+        return np.concatenate([np.zeros(0, np.uint64), *held]), np.cumsum([0, *map(len, held)])
 
-    def raw(self, text: bytes) -> np.ndarray:
-        """Tokens as they are compared in an extension."""
-        return seqhash.words(text)[2] if self.kind == "words" else np.frombuffer(text, np.uint8)
+    def hashes(self, v: np.ndarray) -> np.ndarray:
+        """64 bits of each token."""
+        return v if self.kind == "words" else seqhash.BYTE[v]
 
     @property
     def dtype(self):
@@ -64,21 +69,20 @@ def _anchor_rows(tokens: Tokens, placed: bool):
     """h, c, _id of each anchor: hashes of itself and of its context; placed: also _key and p, where it stands."""
 
     def rows(batch: pa.RecordBatch):
-        for part in common.slices(batch, "_text"):
-            out: list[tuple] = []
-            for i, text in enumerate(common.raw(part.column("_text"))):
-                v = tokens.hashes(text)
-                p, h = seqhash.minimizers(v, tokens.k, tokens.length)
-                if len(p):
-                    c = seqhash.span(seqhash.prefix(v), np.maximum(p - tokens.side, 0), np.minimum(p + tokens.length, len(v)))
-                    out.append((h & _MOST, c & _MOST, p, np.full(len(p), i)))
-            if not out:
+        for part in common.slices(batch, "_text", 1 << 18):
+            v, at = tokens.of(part.column("_text"))
+            v = tokens.hashes(v)
+            p = seqhash.minimizers(v, at[1:], tokens.k, tokens.length)
+            if not len(p):
                 continue
-            h, c, p, i = map(np.concatenate, zip(*out, strict=True))
+            i = np.searchsorted(at, p, "right") - 1
+            sums = seqhash.prefix(v)
+            h = seqhash.span(sums, p, p + tokens.k) & _MOST
+            c = seqhash.span(sums, np.maximum(p - tokens.side, at[i]), np.minimum(p + tokens.length, at[i + 1])) & _MOST
             ids = part.column("_id").to_numpy(zero_copy_only=False)[i]
             if placed:
                 keys = part.column("_key").to_numpy(zero_copy_only=False)[i]
-                yield pa.record_batch([h.view(np.int64), c.view(np.int64), ids, keys, p], names=["h", "c", "_id", "_key", "p"])
+                yield pa.record_batch([h.view(np.int64), c.view(np.int64), ids, keys, p - at[i]], names=["h", "c", "_id", "_key", "p"])
             else:
                 yield pa.record_batch([h.view(np.int64), c.view(np.int64), ids], names=["h", "c", "_id"])
 
@@ -90,16 +94,25 @@ def _context_rows(tokens: Tokens):
 
     def rows(batch: pa.RecordBatch):
         for part in common.slices(batch, "_text"):
-            cols = part.column("at").to_pylist()
-            out = []
-            for text, at, i, key in zip(common.raw(part.column("_text")), cols, part.column("_id").to_pylist(), part.column("_key").to_pylist(), strict=True):
-                v = tokens.raw(text)
-                for x in at:
-                    p = min(x["ps"])
-                    a = max(p - tokens.side, 0)
-                    out.append((x["h"], i, key, x["ps"], p - a, v[a : p + tokens.length].tobytes(), x["hot"]))
-            for a in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 5000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "_id", "_key", "ps", "left", "context", "hot"])
+            v, starts = tokens.of(part.column("_text"))
+            listed = part.column("at")
+            doc = np.repeat(np.arange(len(part)), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+            h, ps, hot = listed.flatten().flatten()
+            places, first = common.flat(ps)
+            p = np.minimum.reduceat(places, first[:-1])
+            a, b = np.maximum(p - tokens.side, 0), np.minimum(p + tokens.length, np.diff(starts)[doc])
+            ids, keys = (part.column(x).to_numpy(zero_copy_only=False)[doc] for x in ("_id", "_key"))
+            for x in range(0, len(p), 5000):
+                y = slice(x, x + 5000)
+                context = v[seqhash.spread(starts[doc[y]] + a[y], b[y] - a[y])]
+                ends = np.r_[0, np.cumsum(b[y] - a[y])] * tokens.dtype.itemsize
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        h[y], ids[y], keys[y], ps[y], pa.array((p - a)[y].astype(np.int32)),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(context)]), hot[y],
+                    ],
+                    names=["h", "_id", "_key", "ps", "left", "context", "hot"],
+                )
 
     return rows
 
@@ -145,7 +158,7 @@ def repeated_runs(group: np.ndarray, ids: np.ndarray, left: np.ndarray, nleft: n
     of elements by length - k + 1 booleans, for r from k on.
     """
     n = len(ids)
-    at = []
+    at, most = [], []
     for side, size in ((right, nright), (left, nleft)):
         order = _order(group, side)
         lcp = np.zeros(n, np.int64)
@@ -154,16 +167,24 @@ def repeated_runs(group: np.ndarray, ids: np.ndarray, left: np.ndarray, nleft: n
             lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
         lcp[0] = -1
         at.append((order, lcp))
+        # the deepest interval of two or more that an element is in
+        deepest = np.empty(n, np.int64)
+        deepest[order] = np.maximum(lcp, np.r_[lcp[1:], -1])
+        most.append(deepest)
     found = np.zeros((n, length - k + 1), bool)
     runs = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
     for r in range(k, length + 1):
+        some = np.flatnonzero((most[0] >= r) & (most[1] >= length - r))
+        if not len(some):
+            continue
         for run, (order, lcp), depth in zip(runs, at, (r, length - r), strict=True):
             run[order] = np.cumsum(lcp < depth)
-        pair = runs[0] * (n + 1) + runs[1]
+        pair = runs[0][some] * (n + 1) + runs[1][some]
         order = np.argsort(pair, kind="stable")
         head = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
-        first = np.minimum.reduceat(ids[order], head)
-        found[order, r - k] = ids[order] > np.repeat(first, np.diff(np.r_[head, n]))
+        own = ids[some[order]]
+        first = np.minimum.reduceat(own, head)
+        found[some[order], r - k] = own > np.repeat(first, np.diff(np.r_[head, len(some)]))
     return found
 
 
@@ -177,12 +198,14 @@ def _extend_rows(tokens: Tokens):
         ids, n = rows.column("_id").to_numpy(), len(h)
         nleft = rows.column("left").to_numpy().astype(np.int64)
         left, right = np.zeros((n, max(side, 1)), tokens.dtype), np.zeros((n, length), tokens.dtype)
-        nright = np.zeros(n, np.int64)
-        for i, x in enumerate(rows.column("context").to_pylist()):
-            v, m = np.frombuffer(x, tokens.dtype), nleft[i]
-            left[i, :m] = v[:m][::-1]
-            nright[i] = len(v) - m
-            right[i, : len(v) - m] = v[m:]
+        v, at = common.flat(rows.column("context").combine_chunks())
+        v, at = v.view(tokens.dtype), at // tokens.dtype.itemsize
+        nright = np.diff(at) - nleft
+        own = np.repeat(np.arange(n), np.diff(at))
+        far = np.arange(len(v)) - np.repeat(at[:-1] + nleft, np.diff(at))
+        before = far < 0
+        left[own[before], -1 - far[before]] = v[before]
+        right[own[~before], far[~before]] = v[~before]
         found = repeated_runs(group, ids, left, nleft, right, nright, k, length)
         which, r = np.nonzero(found)
         if not len(which):
@@ -191,10 +214,9 @@ def _extend_rows(tokens: Tokens):
         head = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (r[1:] != r[:-1] + 1)])
         last = np.r_[head[1:], len(which)] - 1
         el, r0, r1 = which[head], r[head] + k, r[last] + k
-        ps = rows.column("ps").combine_chunks()
-        offsets, flat = ps.offsets.to_numpy(), ps.values.to_numpy()
-        times = (offsets[1:] - offsets[:-1])[el]
-        pos = np.concatenate([flat[offsets[e] : offsets[e + 1]] for e in el])
+        flat, offsets = common.flat(rows.column("ps").combine_chunks())
+        times = np.diff(offsets)[el]
+        pos = flat[seqhash.spread(offsets[el], times)]
         rep = lambda x: np.repeat(x, times)
         keys = rows.column("_key").to_numpy()
         return pa.record_batch([rep(ids[el]), rep(keys[el]), pos + rep(r0 - length), pos + rep(r1)], names=["_id", "_key", "a", "b"])
@@ -230,7 +252,7 @@ def _run_rows(tokens: Tokens):
         hs = batch.column("h").to_numpy()
         for i, (x, m) in enumerate(zip(batch.column("context").to_pylist(), batch.column("left").to_pylist(), strict=True)):
             v = np.frombuffer(x, tokens.dtype)
-            v = v if tokens.kind == "words" else seqhash.BYTE[v]
+            v = tokens.hashes(v)
             starts = np.arange(max(0, m + k - length), min(m, len(v) - length) + 1)
             if len(starts):
                 one = seqhash.span(seqhash.prefix(v), starts, starts + length)
@@ -262,7 +284,7 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
     anchors = common.map_arrow(text, _anchor_rows(tokens, True), "h long, c long, _id long, _key long, p long")
     met = anchors.join(seeds.hint("shuffle_hash"), "h").filter("not single or _id > f")
     many = ~F.col("single")
-    met = common.written(met.select(F.when(many, F.col("h")).alias("h"), F.when(many, F.col("c")).alias("c"), "_id", "_key", "p", "single"), by="single")
+    met = common.written(met.select(F.when(many, F.col("h")).alias("h"), F.when(many, F.col("c")).alias("c"), "_id", "_key", "p", "single"), by="single", beside=2)
     common.discard(seeds)
 
     shared = met.filter("not single").select("h", "c", "_id", "_key", "p")

@@ -164,26 +164,46 @@ def _slide(h: np.ndarray, w: int, of) -> np.ndarray:
     return of(m[:n], m[w - size : w - size + n])
 
 
-def minimizers(v: np.ndarray, k: int, window: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-grams that are least in some window of v.
+def minimizers(v: np.ndarray, ends: np.ndarray, k: int, window: int, block: int = 1 << 15) -> np.ndarray:
+    """Positions of the k-grams that are least in some window of a sequence.
 
-    Every `window` consecutive values hold a selected k-gram, which depends on
+    v holds sequences one after another, ends where each ends. Every `window`
+    consecutive values of one sequence hold a selected k-gram, which depends on
     those values only; equal windows so select the same ones. All of equal
-    least hashes are selected. Long sequences go block by block.
+    least hashes are selected. Work goes block by block, to stay in the cache.
     """
     w = window - k + 1
-    if len(v) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, hs = [], []
+    chosen = np.zeros(len(v), bool)
+    # windows that no sequence holds: those that begin less than a window before an end
+    begins = np.r_[0, ends[:-1]]
+    none = np.zeros(len(v), bool)
+    tails = np.maximum(ends - window + 1, begins)
+    if len(v):
+        none[spread(tails, ends - tails)] = True
     for a in range(0, len(v) - window + 1, block):
-        h = grams(v[a : a + block + window - 1], k)
-        least = np.zeros(len(h) + w - 1, np.uint64)
-        least[w - 1 : len(h)] = _slide(h, w, np.minimum)
-        p = np.flatnonzero(_slide(least, w, np.maximum) == h)
-        at.append(p + a)
-        hs.append(h[p])
-    at, hs = np.concatenate(at), np.concatenate(hs)
-    if len(v) - window + 1 > block:
-        at, first = np.unique(at, return_index=True)
-        hs = hs[first]
-    return at, hs
+        h = orders(v[a : a + block + window - 1], k)
+        least = np.zeros(len(h) + w - 1, np.uint32)
+        m = _slide(h, w, np.minimum)
+        m[none[a : a + len(m)]] = 0
+        least[w - 1 : len(h)] = m
+        chosen[a : a + len(h)] |= _slide(least, w, np.maximum) == h
+    return np.flatnonzero(chosen)
+
+
+def orders(v: np.ndarray, k: int) -> np.ndarray:
+    """A 32-bit hash above 0 of each k consecutive values of v, by which they are ordered."""
+    sums, n = prefix(v), len(v) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    x = sums[k:] - sums[:n]
+    x *= powers(n)[1]
+    x ^= x >> U(32)
+    x *= U(0x9FB21C651E98DF25)
+    x >>= U(32)
+    return x.astype(np.uint32) | np.uint32(1)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ...: the places of runs, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harness import compare
-from loomgraph.llm import bpe, common, decontamination, exact_dedup, language_id, line_dedup, ngram_join, registry, seqhash, substring_dedup, suffix_array_dedup, token_records, toxicity
+from loomgraph.llm import bpe, common, decontamination, exact_dedup, language_id, line_dedup, ngram_join, registry, repeats, seqhash, substring_dedup, suffix_array_dedup, token_records, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, `n_lines` int"
@@ -69,6 +70,77 @@ def test_suffix_array_dedup(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_anchors_of_many_texts(kind, monkeypatch):
+    """The texts of a part go through numpy together, and each has the anchors and contexts that it has alone."""
+    r = random.Random(5)
+    unit = (lambda n: "".join(r.choice("abé ") for _ in range(n))) if kind == "bytes" else (lambda n: " ".join(r.choice("abcdef") for _ in range(n)))
+    texts = ["", unit(49), *(unit(r.randint(0, 400)) for _ in range(300)), "", unit(50), "a " * 200, unit(40_000), ""]
+    tokens = repeats.Tokens(kind, 8, 50)
+
+    def batch(rows):
+        return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["_id", "_key", "_text"])
+
+    def anchors(rows):
+        return [x for out in repeats._anchor_rows(tokens, True)(batch(rows)) for x in zip(*(c.to_pylist() for c in out.columns))]
+
+    rows, calls, one = list(enumerate(texts)), [], seqhash.minimizers
+    alone = [x for row in rows for x in anchors([row])]
+    monkeypatch.setattr(seqhash, "minimizers", lambda *a: calls.append(1) or one(*a))
+    assert anchors(rows) == alone and len(calls) < 5
+    at = {}
+    for h, _, i, _, p in alone:
+        at.setdefault(i, []).append({"h": h, "ps": [p + 3, p], "hot": p % 2 == 0})
+    some = sorted(at)
+    listed = pa.array([at[i] for i in some], pa.list_(pa.struct([("h", pa.int64()), ("ps", pa.list_(pa.int64())), ("hot", pa.bool_())])))
+    got = [tuple(x.values()) for out in repeats._context_rows(tokens)(batch([rows[i] for i in some]).append_column("at", listed)) for x in out.to_pylist()]
+    want = []
+    for i in some:
+        v = np.frombuffer(texts[i].encode(), np.uint8) if kind == "bytes" else seqhash.words(texts[i].encode())[2]
+        for x in at[i]:
+            p = x["ps"][1]
+            a = max(p - 42, 0)
+            want.append((x["h"], i, 0, x["ps"], p - a, v[a : p + 50].tobytes(), x["hot"]))
+    assert got == want
+    for i, t in rows:  # each window holds an anchor
+        n, ps = len(t.encode() if kind == "bytes" else t.split()), np.array([x["ps"][1] for x in at.get(i, [])], int)
+        assert all(((ps >= a) & (ps <= a + 42)).any() for a in range(n - 49))
+
+
+def test_repeated_runs(monkeypatch):
+    """Against brute force; elements that share no run of that length aren't sorted for it."""
+    r = np.random.default_rng(6)
+    n, k, length = 400, 4, 10
+    group, ids = np.sort(r.integers(0, 20, n)), r.integers(0, 300, n)
+    nleft, nright = r.integers(0, 7, n), r.integers(4, 11, n)
+    left, right = np.zeros((n, 6), np.uint8), np.zeros((n, 10), np.uint8)
+    for i in range(n):
+        left[i, : nleft[i]] = r.integers(0, 2 + group[i], nleft[i])
+        right[i, : nright[i]] = r.integers(0, 2 + group[i], nright[i])
+        right[i, :4] = group[i]
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **kw: sizes.append(len(x)) or sort(x, **kw))
+    found = repeats.repeated_runs(group, ids, left, nleft, right, nright, k, length)
+    first, runs = {}, {}
+    for i in range(n):
+        for d in range(k, length + 1):
+            if d <= nright[i] and length - d <= nleft[i]:
+                runs[i, d] = (group[i], d, *left[i, : length - d], -1, *right[i, :d])
+                first[runs[i, d]] = min(first.get(runs[i, d], 1000), ids[i])
+    want = [[(i, d) in runs and first[runs[i, d]] < ids[i] for d in range(k, length + 1)] for i in range(n)]
+    assert found.tolist() == want and found.any()
+    assert sum(sizes[2:]) < n * (length - k + 1) * 0.8
+
+
+def test_written_side_by_side(spark):
+    """Two values of a column go to files of their own without a sort, and settings stay as they were."""
+    held = common.written(spark.range(100).withColumn("even", F.col("id") % 2 == 0), by="even", beside=2)
+    last = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert "Sort" not in last.apply(last.size() - 1).physicalPlanDescription()
+    assert held.filter("even").count() == 50 and held.count() == 100
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_maximal_repeats():
     assert suffix_array_dedup.maximal_repeats([b"xabcy", b"zabcw", b"abq"], 2) == [(b"ab", [(0, 1), (1, 1), (2, 0)]), (b"abc", [(0, 1), (1, 1)])]
 
